@@ -28,23 +28,23 @@ PEARSON_SQL = ("CASE WHEN stddev_pop(label) = 0 OR stddev_pop(pred) = 0 THEN NUL
 
 
 @register("a8_regression_metrics",
-          f"SELECT split, count(*) AS n, round(avg(abs(label - pred)), 4) AS mae, "
-          f"round(sqrt(avg((label - pred) * (label - pred))), 4) AS rmse, round({R2_SQL}, 6) AS r2 "
+          f"SELECT split, count(*) AS n, 0.0 + round(avg(abs(label - pred)), 4) AS mae, "
+          f"0.0 + round(sqrt(avg((label - pred) * (label - pred))), 4) AS rmse, 0.0 + round({R2_SQL}, 6) AS r2 "
           f"FROM {PRED} p GROUP BY split")
 def a8_regression_metrics(spark, sf_dir):
     r = m.regression_metrics(fx.fx_pred(spark, sf_dir), "label", "pred", "split")
     return r.select("split", "n", _r("mae", 4), _r("rmse", 4), _r("r2"))
 
 
-@register("a9_pearson", f"SELECT split, round({PEARSON_SQL}, 6) AS pearsonr FROM {PRED} p GROUP BY split")
+@register("a9_pearson", f"SELECT split, 0.0 + round({PEARSON_SQL}, 6) AS pearsonr FROM {PRED} p GROUP BY split")
 def a9_pearson(spark, sf_dir):
     return m.pearson(fx.fx_pred(spark, sf_dir)).select("split", _r("pearsonr"))
 
 
 @register("a10_compute_metrics",
-          f"SELECT split, round(avg(abs(label - pred)), 4) AS mae, "
-          f"round(sqrt(avg((label - pred) * (label - pred))), 4) AS rmse, round({PEARSON_SQL}, 6) AS pearsonr, "
-          f"round({R2_SQL}, 6) AS r2 FROM {PRED} p GROUP BY split")
+          f"SELECT split, 0.0 + round(avg(abs(label - pred)), 4) AS mae, "
+          f"0.0 + round(sqrt(avg((label - pred) * (label - pred))), 4) AS rmse, 0.0 + round({PEARSON_SQL}, 6) AS pearsonr, "
+          f"0.0 + round({R2_SQL}, 6) AS r2 FROM {PRED} p GROUP BY split")
 def a10_compute_metrics(spark, sf_dir):
     r = m.compute_metrics(fx.fx_pred(spark, sf_dir))
     return r.select("split", _r("mae", 4), _r("rmse", 4), _r("pearsonr"), _r("r2"))
@@ -60,7 +60,7 @@ def _models(spark, sf_dir):
 
 
 @register("a11_ensemble_mean",
-          "SELECT row_id, round(avg(pred), 4) AS pred, round(avg(unc), 4) AS unc FROM ("
+          "SELECT row_id, 0.0 + round(avg(pred), 4) AS pred, 0.0 + round(avg(unc), 4) AS unc FROM ("
           "SELECT row_id, pred * (1 + model / 100) AS pred, unc * (1 + model) AS unc FROM "
           f"(SELECT row_id, pred, unc, unnest([0, 1, 2]) AS model FROM {UNC} u) x) y GROUP BY row_id")
 def a11_ensemble_mean(spark, sf_dir):
@@ -69,7 +69,7 @@ def a11_ensemble_mean(spark, sf_dir):
 
 
 @register("x6_parity_line",
-          "SELECT CAST(i AS INTEGER) AS i, round(lo + i * 0.2, 6) AS x FROM ("
+          "SELECT CAST(i AS INTEGER) AS i, 0.0 + round(lo + i * 0.2, 6) AS x FROM ("
           "SELECT lo, unnest(range(0, CAST(ceil((hi - lo) / 0.2) AS BIGINT))) AS i FROM ("
           f"SELECT min(log10(label)) AS lo, max(log10(label)) AS hi FROM {PRED} p) a) b")
 def x6_parity_line(spark, sf_dir):
@@ -92,7 +92,7 @@ def w3_equal_bins(spark, sf_dir):
 
 
 @register("l6_z_scaling",
-          f"SELECT split, count(*) AS n, round(avg((label - pred) * (label - pred) / (unc * s2)), 6) AS z2_mean "
+          f"SELECT split, count(*) AS n, 0.0 + round(avg((label - pred) * (label - pred) / (unc * s2)), 6) AS z2_mean "
           f"FROM {UNC} u, (SELECT avg((label - pred) * (label - pred) / unc) AS s2 FROM {UNC} v "
           f"WHERE split = 'Validation' AND {OK}) s WHERE {OK} GROUP BY split")
 def l6_z_scaling(spark, sf_dir):
@@ -106,7 +106,7 @@ def l6_z_scaling(spark, sf_dir):
 
 
 @register("l7_nll",
-          f"SELECT split, round(avg(0.5 * ln({2 * math.pi!r} * unc) + (label - pred) * (label - pred) / (2.0 * unc)), 6)"
+          f"SELECT split, 0.0 + round(avg(0.5 * ln({2 * math.pi!r} * unc) + (label - pred) * (label - pred) / (2.0 * unc)), 6)"
           f" AS nll FROM {UNC} u WHERE {OK} GROUP BY split")
 def l7_nll(spark, sf_dir):
     return m.nll(fx.fx_unc(spark, sf_dir)).select("split", _r("nll"))
@@ -118,7 +118,7 @@ def _cal_area_sql():
                      for b, z in enumerate(m.CAL_Z, start=1))
     area = " + ".join(f"0.01 * abs(h{b} / CAST(n AS DOUBLE) - CAST('{p!r}' AS DOUBLE))"
                       for b, p in enumerate(m.CAL_LEVELS, start=1))
-    return (f"SELECT split, round(CASE WHEN n > 0 THEN {area} END, 6) AS cal_area, CAST(n_rejected AS BIGINT) AS n_rejected "
+    return (f"SELECT split, 0.0 + round(CASE WHEN n > 0 THEN {area} END, 6) AS cal_area, CAST(n_rejected AS BIGINT) AS n_rejected "
             f"FROM (SELECT split, sum(CASE WHEN {OK} THEN 1 ELSE 0 END) AS n, "
             f"sum(CASE WHEN {OK} THEN 0 ELSE 1 END) AS n_rejected, {hits} FROM {UNC} u GROUP BY split) a")
 
@@ -129,7 +129,7 @@ def l8_calibration_area(spark, sf_dir):
 
 
 @register("l9_ence",
-          "SELECT round(avg(abs(rmv - rmse) / rmv), 6) AS ence, count(*) AS n_bins FROM ("
+          "SELECT 0.0 + round(avg(abs(rmv - rmse) / rmv), 6) AS ence, count(*) AS n_bins FROM ("
           "SELECT bin, sqrt(avg(unc)) AS rmv, sqrt(avg((label - pred) * (label - pred))) AS rmse FROM ("
           "SELECT *, ntile(CAST(least(100, (SELECT count(*) FROM " + UNC + f" c WHERE split = 'Testing' AND {OK})) AS BIGINT)) "
           f"OVER (ORDER BY unc, row_id) AS bin FROM {UNC} u WHERE split = 'Testing' AND {OK}) b GROUP BY bin) g")
@@ -139,7 +139,7 @@ def l9_ence(spark, sf_dir):
 
 
 @register("l10_spearman",
-          "SELECT round(CASE WHEN stddev_pop(ru) = 0 OR stddev_pop(ra) = 0 THEN NULL ELSE "
+          "SELECT 0.0 + round(CASE WHEN stddev_pop(ru) = 0 OR stddev_pop(ra) = 0 THEN NULL ELSE "
           "covar_pop(ru, ra) / (stddev_pop(ru) * stddev_pop(ra)) END, 6) AS spearman FROM ("
           "SELECT rank() OVER (ORDER BY unc) + (count(*) OVER (PARTITION BY unc) - 1) / 2.0 AS ru, "
           "rank() OVER (ORDER BY ae) + (count(*) OVER (PARTITION BY ae) - 1) / 2.0 AS ra FROM ("

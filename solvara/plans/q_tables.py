@@ -33,7 +33,7 @@ def s1_text_round_trip(spark, sf_dir):
 
 @register("s3_feature_round_trip",
           "SELECT vec_id AS row_id, len(embedding) AS n_dims, "
-          "round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS vec_sum FROM embeddings")
+          "0.0 + round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS vec_sum FROM embeddings")
 def s3_feature_round_trip(spark, sf_dir):
     """Persist an array feature table as parquet (S3) and reload it."""
     e = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"))
@@ -44,7 +44,7 @@ def s3_feature_round_trip(spark, sf_dir):
     return back.select("row_id", F.size("vec").alias("n_dims"), F.round(total, 4).alias("vec_sum"))
 
 
-@register("s4_read_splits", f"SELECT split, count(*) AS n_rows, round(sum(label), 2) AS label_sum FROM {PRED} p GROUP BY split")
+@register("s4_read_splits", f"SELECT split, count(*) AS n_rows, 0.0 + round(sum(label), 2) AS label_sum FROM {PRED} p GROUP BY split")
 def s4_read_splits(spark, sf_dir):
     """Write one CSV per split, load them as a dict of splits (S4), count per split."""
     p = fx.fx_pred(spark, sf_dir)
@@ -151,7 +151,7 @@ def p9_split_presence(spark, sf_dir):
 
 @register("p10_assemble",
           "SELECT row_id, CAST(len(embedding) + 1 AS INTEGER) AS n_feat, "
-          "round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) + 273.15 + CAST(label AS DOUBLE), 4) "
+          "0.0 + round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) + 273.15 + CAST(label AS DOUBLE), 4) "
           "AS feat_sum FROM (SELECT vec_id AS row_id, embedding, label FROM embeddings) e")
 def p10_assemble(spark, sf_dir):
     e = fx.table(spark, sf_dir, "embeddings").select(
