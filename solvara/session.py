@@ -84,6 +84,8 @@ def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFr
     For CPU-heavy per-row work on a small input (one file -> one task).  A large input already has
     enough partitions and is left alone, so no shuffle is added at scale.
     """
+    if df.isStreaming:
+        return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
