@@ -147,3 +147,17 @@ def l9_ence(spark, sf_dir):
 def l10_spearman(spark, sf_dir):
     t = fx.fx_unc(spark, sf_dir).where(F.col("split") == "Testing")
     return m.uncertainty_error_spearman(t).select(_r("spearman"))
+
+
+@register("x1_sqrt_of_aggregate",
+          f"SELECT split, 0.0 + round(sqrt(avg((label - pred) * (label - pred))), 4) AS rmse FROM {PRED} p GROUP BY split")
+def x1_sqrt_of_aggregate(spark, sf_dir):
+    """Square root applied to an aggregate (RMSE = sqrt(MSE))."""
+    e = F.col("label") - F.col("pred")
+    return fx.fx_pred(spark, sf_dir).groupBy("split").agg(F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse"))
+
+
+@register("x2_absolute_value", f"SELECT row_id, abs(label - pred) AS abs_error FROM {PRED} p")
+def x2_absolute_value(spark, sf_dir):
+    """Absolute value per row."""
+    return fx.fx_pred(spark, sf_dir).select("row_id", F.abs(F.col("label") - F.col("pred")).alias("abs_error"))
