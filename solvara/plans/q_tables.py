@@ -32,7 +32,7 @@ def s1_text_round_trip(spark, sf_dir):
 
 
 @register("s3_feature_round_trip",
-          "SELECT vec_id AS row_id, len(embedding) AS n_dims, "
+          "SELECT vec_id AS row_id, CAST(len(embedding) AS INTEGER) AS n_dims, "
           "0.0 + round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS vec_sum FROM embeddings")
 def s3_feature_round_trip(spark, sf_dir):
     """Persist an array feature table as parquet (S3) and reload it."""
