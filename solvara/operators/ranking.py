@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from solvara.session import reliable_checkpoint
+from solvara.session import bounded_broadcast, reliable_checkpoint
 
 _POS_BITS = 33  # monotonically_increasing_id = partition_index << 33 | position
 
@@ -67,11 +67,14 @@ def average_rank(df: DataFrame, value_col: str, key_col: str = "row_id",
     """1-based rank of ``value_col`` with ties given the average of their positions.
 
     Tie groups are contiguous under ``(value, key)``, so the first position of a group is the
-    minimum rank inside it; an aggregate per value and an equi-join bring it back (a hot value is
-    pre-aggregated map-side and the join is split by AQE's skew handling).
+    minimum rank inside it; an aggregate per value (pre-aggregated map-side, so a value shared by a
+    third of the rows costs one partial row per task) and an equi-join bring it back.  The per-value
+    table is broadcast when its row count is within the broadcast bound -- then the rows are never
+    shuffled by value and a hot value cannot skew a task; otherwise AQE splits the skewed join.
     """
     ranked = global_rank(df, [value_col, key_col], "_r")
-    groups = ranked.groupBy(value_col).agg(F.min("_r").alias("_lo"), F.count("*").alias("_cnt"))
+    groups = bounded_broadcast(
+        ranked.groupBy(value_col).agg(F.min("_r").alias("_lo"), F.count("*").alias("_cnt")))
     avg = F.col("_lo") + (F.col("_cnt") + F.lit(1)) / F.lit(2.0)
     return (ranked.join(groups, value_col, "inner")
             .withColumn(rank_col, avg.cast("double"))
