@@ -86,7 +86,10 @@ def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFr
     """
     if df.isStreaming:
         return df
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # noqa: BLE001  (no RDD view of this session: leave partitioning to Spark)
         return df
     return df.repartition(target, key)
