@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from solvara.operators import metrics, models, relational as rel, sampling, similarity
+from solvara.operators import metrics, models, relational as rel, sampling, similarity, vectors
 from solvara.plans import fixtures as fx
 from solvara.plans.registry import register
 from solvara.session import reliable_checkpoint
@@ -95,3 +95,28 @@ def s6_model_round_trip(spark, sf_dir):
     a = models.score(model, f).select("row_id", F.col("pred").alias("pred_before"))
     b = models.score(loaded, f).select("row_id", F.col("pred").alias("pred_after"))
     return a.join(b, "row_id", "inner")
+
+
+@register("flow_a_split_featurize_fit")
+def flow_a_split_featurize_fit(spark, sf_dir):
+    """The tabular-regression flow end to end on the documents table.
+
+    fingerprint (F1) -> quota split 85/5/10 (F7) -> sentence vectors of the words (A1) + a temperature
+    column (P10) -> GBT fitted on the training split (L1) -> scored once over all splits (L2) ->
+    metrics per split (A8).  The target is the document length in characters.
+    """
+    d = fx.table(spark, sf_dir, "documents")
+    docs = d.select(F.col("doc_id").alias("row_id"), F.col("text").alias("smiles"),
+                    F.filter(F.split("text", " "), lambda w: w != "").alias("tokens"),
+                    (F.lit(273.15) + (F.col("n_chars") % 100).cast("double")).alias("temp"),
+                    F.log1p(F.col("n_chars").cast("double")).alias("label"))
+    bits = similarity.lingo_fingerprint(docs, "smiles", 4, 512)
+    split = sampling.three_way_split(bits, 512, "quota", 90, 94.45)
+    sv = vectors.sentence_vectors(docs, "tokens", fx.fx_wordvec(spark, sf_dir), "row_id", "UNK", "vec")
+    feats = rel.assemble(sv.join(docs.select("row_id", "temp", "label"), "row_id"), "vec", ["temp"], "x")
+    from pyspark.ml.functions import array_to_vector
+    table = feats.join(split, "row_id").select("row_id", "split", "label", array_to_vector("x").alias("features"))
+    table = reliable_checkpoint(table)
+    model = models.fit_gbt(rel.split_rows(table, "Training"), "features", "label", **CFG)
+    scored = models.score(model, table)
+    return metrics.regression_metrics(scored, "label", "pred", "split")
