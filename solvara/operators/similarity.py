@@ -51,10 +51,11 @@ class BitStats:
 def bit_stats(bits_df: DataFrame, n_bits: int, bits_col: str = "bits") -> BitStats:
     """Per-bit counts; the aggregate result has at most ``n_bits`` + 1 rows (proven bound).
 
-    One pass: every row also emits the sentinel bit -1, whose count is N.
+    One pass: every row also emits the sentinel bit -1, whose count is N.  ``explode_outer`` keeps
+    Spark from inferring a size filter that would re-evaluate an uncheckpointed bits expression early.
     """
     tagged = F.concat(F.array(F.lit(-1)), F.col(bits_col))
-    rows = (bits_df.select(F.explode(tagged).alias("bit"))
+    rows = (bits_df.select(F.explode_outer(tagged).alias("bit")).where(F.col("bit").isNotNull())
             .groupBy("bit").agg(F.count("*").alias("k")).collect())
     counts = {int(r["bit"]): int(r["k"]) for r in rows}
     n_rows = counts.pop(-1, 0)
@@ -69,7 +70,7 @@ def isim(bits_df: DataFrame, n_bits: int, bits_col: str = "bits") -> DataFrame:
     n = bits_df.count()
     dec = "decimal(38,0)"
     k = F.col("k").cast(dec)
-    per_bit = (bits_df.select(F.explode(bits_col).alias("bit"))
+    per_bit = (bits_df.select(F.explode_outer(bits_col).alias("bit")).where(F.col("bit").isNotNull())
                .groupBy("bit").agg(F.count("*").alias("k")))
     sums = per_bit.agg(
         F.coalesce(F.sum(k * (k - F.lit(1)) / F.lit(2)), F.lit(0)).cast(dec).alias("a_pairs"),

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from solvara.session import spread
+
 # SMILES token pattern from the reaction-prediction literature -- a bracket atom, the
 # two-letter halogens Br and Cl, single-letter organic atoms (upper and aromatic lower case), bond and
 # branch symbols, two-digit ring closures after %, and single ring-closure digits.
@@ -26,8 +28,13 @@ def model_text(df: DataFrame, text: str, num_cols, sep: str = " [SEP] ", digits:
     return df.withColumn(out, F.concat_ws(sep, *parts))
 
 
-def tokenize_smiles(df: DataFrame, c: str, out: str = "tokens") -> DataFrame:
-    """SMILES tokens of the whole string, in order (characters outside the pattern are skipped)."""
+def tokenize_smiles(df: DataFrame, c: str, out: str = "tokens", key: str | None = "row_id") -> DataFrame:
+    """SMILES tokens of the whole string, in order (characters outside the pattern are skipped).
+
+    The regex pass is CPU-bound, so a small input is first spread over the cores by ``key``.
+    """
+    if key and key in df.columns:
+        df = spread(df, key)
     return df.withColumn(out, F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(SMILES_TOKEN_RE), 1))
 
 
@@ -38,7 +45,9 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", size: int = 1000) -> Data
     ``orderBy().limit()`` runs as a per-partition top-k and a merge, and numbering the <= size survivors
     in one task is bounded by the parameter.
     """
-    counts = (df.select(F.explode(tokens).alias("token"))
+    # explode_outer + NOT NULL instead of explode: Spark would otherwise infer a ``size(tokens) > 0``
+    # filter and push it (and with it the whole-text regex) below any earlier repartition
+    counts = (df.select(F.explode_outer(tokens).alias("token")).where(F.col("token").isNotNull())
               .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     top = counts.orderBy(F.col("n").desc(), F.col("token").asc()).limit(size)
     w = Window.orderBy(F.col("n").desc(), F.col("token").asc())
