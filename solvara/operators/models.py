@@ -8,8 +8,7 @@ without a Spark counterpart (``l2_leaf_reg``, ``random_strength``) are recorded
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import (PCA, CountVectorizer, HashingTF, IDF, RegexTokenizer, SQLTransformer,
-                                VectorAssembler)
+from pyspark.ml.feature import PCA, CountVectorizer, HashingTF, IDF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
@@ -140,6 +139,3 @@ def explained_variance(bits: DataFrame, bits_col: str = "bits") -> list[float]:
     return [float(x) for x in model.stages[-1].explainedVariance.toArray()]
 
 
-def sql_stage(statement: str) -> SQLTransformer:
-    """A pipeline stage written in SQL over ``__THIS__`` (used to keep feature prep inside saved models)."""
-    return SQLTransformer(statement=statement)

@@ -120,3 +120,43 @@ def flow_a_split_featurize_fit(spark, sf_dir):
     model = models.fit_gbt(rel.split_rows(table, "Training"), "features", "label", **CFG)
     scored = models.score(model, table)
     return metrics.regression_metrics(scored, "label", "pred", "split")
+
+
+@register("flow_b_uncertainty_report")
+def flow_b_uncertainty_report(spark, sf_dir):
+    """The regression-with-uncertainty flow end to end on the prediction features.
+
+    three split files read back as one table (S4) -> rows with a finite target only (P7) -> every split
+    present (P9) -> target scaled on the training split (A7) -> two mean-variance models with different
+    seeds (L5), averaged (A11) -> predictions back in label units -> z-scaling fitted on validation (L6)
+    -> NLL, calibration area, ENCE and Spearman on the test split (L7-L10), one row per metric.
+    """
+    f = _feat(spark, sf_dir)
+    paths = {name: io.write_table(rel.split_rows(f, name).drop("split"), io.scratch_path(spark, name), "csv")
+             for name in ("Training", "Validation", "Testing")}
+    t = io.read_splits(spark, paths, "row_id bigint, label double, qty double, disc double, tax double")
+    t = reliable_checkpoint(rel.drop_missing(t, ["label"]))
+    rel.require_nonempty(t)
+    from solvara.operators import descriptors as ds
+    scaler = ds.fit_target_scaler(t, "label")
+    z = scaler.apply(t, suffix="_z")
+    train = rel.split_rows(z, "Training")
+    runs = []
+    for seed in (536, 537):
+        mm, vm = models.fit_mean_variance(train, FEATS, "label_z", seed=seed, **CFG)
+        runs.append(models.predict_mean_variance(mm, vm, z).select("row_id", "pred", "unc"))
+    ens = metrics.ensemble_mean(runs[0].unionByName(runs[1]), "row_id", "pred", "unc")
+    # back to label units: pred * s + m, variance * s^2
+    s = scaler.scale["label"]
+    back = scaler.invert(ens, "pred", "pred", "label").withColumn("unc", F.col("unc") * F.lit(s * s))
+    scored = reliable_checkpoint(t.join(back, "row_id", "inner"))
+    s2 = metrics.fit_z_scaling(scored, fit_on="Validation")
+    cal = metrics.apply_z_scaling(scored, s2, "unc", "cal_unc").drop("unc").withColumnRenamed("cal_unc", "unc")
+    test = rel.split_rows(cal, "Testing")
+    parts = [metrics.nll(test, by=None).select(F.lit("nll").alias("metric"), F.col("nll").alias("value")),
+             metrics.calibration_area(test, by=None).select(F.lit("cal_area").alias("metric"),
+                                                             F.col("cal_area").alias("value")),
+             metrics.ence(test).select(F.lit("ence").alias("metric"), F.col("ence").alias("value")),
+             metrics.uncertainty_error_spearman(test).select(F.lit("spearman").alias("metric"),
+                                                             F.col("spearman").alias("value"))]
+    return rel.union_splits(parts)
