@@ -34,16 +34,6 @@ class BitStats:
     counts: dict[int, int]
     n_bits: int
 
-    @property
-    def a_pairs(self) -> int:
-        """Matching on-bit pairs summed over bits: sum k(k-1)/2."""
-        return sum(k * (k - 1) // 2 for k in self.counts.values())
-
-    @property
-    def d_pairs(self) -> int:
-        """Mismatching pairs summed over bits: sum k(N-k)."""
-        return sum(k * (self.n_rows - k) for k in self.counts.values())
-
     def k_array(self) -> list[int]:
         return [self.counts.get(b, 0) for b in range(self.n_bits)]
 

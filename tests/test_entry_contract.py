@@ -69,3 +69,18 @@ def test_plans_have_no_row_level_python_or_cross_product(spark, name):
     plan = plan_text(E.queries()[name](spark, SF_SMALL))
     for bad in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert bad not in plan, bad
+
+
+def test_filter_and_columns_reach_the_scan(spark):
+    df = E.queries()["j2_take"](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(l_quantity,45.0)" in plan
+    formatted = df._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in formatted
+    assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in formatted
+
+
+def test_checkpoint_dir_comes_from_the_session(spark):
+    from solvara.session import ensure_checkpoint_dir
+    assert ensure_checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
