@@ -45,11 +45,12 @@ def qgram_bits(text: Column, q: int, n_bits: int) -> Column:
 
     gram i (1-based) is ``substr(text, i, q)`` for i in 1..length-q+1; bit = md5_int(gram) mod n_bits.
     The grams are taken in one regex pass (a lookahead that captures q characters at every position,
-    newlines included), which is linear in the text; positional ``substring`` calls would re-walk the
+    newlines included, never inside a surrogate pair), which is linear in the text; positional ``substring`` calls would re-walk the
     string from its start each time.  Repeated grams are dropped before hashing (about half of them in
     prose).  A string shorter than q has no grams.  The whole text is used; the per-row array is reduced
     to at most ``n_bits`` entries.
     """
-    grams = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?s)(?=(.{{{q}}}))"), 1)
+    # (?!\p{Cs}): never start inside a surrogate pair, so grams are whole code points as in SQL substr
+    grams = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?s)(?!\\p{{Cs}})(?=(.{{{q}}}))"), 1)
     bits = F.transform(F.array_distinct(grams), lambda g: md5_bucket(g, n_bits))
     return F.array_sort(F.array_distinct(bits))

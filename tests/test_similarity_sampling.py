@@ -22,7 +22,7 @@ def py_bits(s, q, n_bits):
 
 def test_fingerprint_matches_python(spark):
     rows = [(1, "CCO"), (2, "CCOC"), (3, "c1ccccc1O"), (4, ""), (5, None), (6, "F/C=C\\F"),
-            (7, "line\nbreak with ünïcode"), (8, "CCOCCOCCO" * 50)]
+            (7, "line\nbreak with ünïcode"), (8, "CCOCCOCCO" * 50), (9, "ab\U0001F600cd\U0001F601\U0001F602xyz")]
     df = spark.createDataFrame(rows, "row_id bigint, smiles string")
     for n_bits in (512, 256, 2048, 100):
         got = {r["row_id"]: list(r["bits"]) for r in similarity.lingo_fingerprint(df, "smiles", 4, n_bits).collect()}
