@@ -50,7 +50,8 @@ def qgram_bits(text: Column, q: int, n_bits: int) -> Column:
     prose).  A string shorter than q has no grams.  The whole text is used; the per-row array is reduced
     to at most ``n_bits`` entries.
     """
-    # (?!\p{Cs}): never start inside a surrogate pair, so grams are whole code points as in SQL substr
-    grams = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?s)(?!\\p{{Cs}})(?=(.{{{q}}}))"), 1)
+    # never start on a low surrogate (inside a pair), so grams are whole code points as in SQL substr
+    grams = F.regexp_extract_all(F.coalesce(text, F.lit("")),
+                                 F.lit(f"(?s)(?![\\uDC00-\\uDFFF])(?=(.{{{q}}}))"), 1)
     bits = F.transform(F.array_distinct(grams), lambda g: md5_bucket(g, n_bits))
     return F.array_sort(F.array_distinct(bits))
