@@ -167,3 +167,12 @@ def test_hash_split_and_kfold_stable(spark):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
     folds = {r["fold"] for r in sampling.k_fold(df, "row_id", 5).collect()}
     assert folds == {0, 1, 2, 3, 4}
+
+
+def test_sample_size_zero_and_tiny_sets(spark):
+    sim = _sim_frame(spark, 7)
+    assert sampling.stratified_sample(sim, 10).count() == 0     # floor(7 * 10 / 100) = 0
+    assert sampling.quota_sample(sim, 10).count() == 0
+    one = _sim_frame(spark, 1)
+    assert sampling.stratified_sample(one, 100).count() == 1
+    assert sampling.quota_sample(one, 100).count() == 1

@@ -148,3 +148,11 @@ def test_parity_line(spark):
     df = spark.createDataFrame([(0.0,), (1.0,)], "label double")
     xs = [r["x"] for r in m.parity_line(df, "label", 0.2).orderBy("i").collect()]
     assert xs == pytest.approx([0.0, 0.2, 0.4, 0.6, 0.8])
+
+
+def test_latin1_csv_read(spark):
+    d = tempfile.mkdtemp(prefix="solvara-latin1-")
+    with open(os.path.join(d, "part.csv"), "wb") as fh:
+        fh.write("row_id,name\n1,Caf\xe9 O/C=C\\O\n".encode("latin-1"))
+    rows = io.read_table(spark, d, "row_id bigint, name string").collect()
+    assert rows[0]["name"] == "Café O/C=C\\O"
