@@ -84,3 +84,18 @@ def test_filter_and_columns_reach_the_scan(spark):
 def test_checkpoint_dir_comes_from_the_session(spark):
     from solvara.session import ensure_checkpoint_dir
     assert ensure_checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
+
+
+@pytest.mark.parametrize("name", ["f7_split_quota_85_5_10", "w2_average_rank", "w3_equal_bins", "d1_dedup_first",
+                                  "f2_circular_fingerprint", "a1_sentence_vectors", "l9_ence", "x5_build_vocab"])
+def test_results_do_not_depend_on_shuffle_width(spark, name):
+    def run(width):
+        spark.conf.set("spark.sql.shuffle.partitions", str(width))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            df = E.queries()[name](spark, SF_SMALL)
+            return sorted((tuple(r) for r in df.collect()), key=repr)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert run(3) == run(13)
