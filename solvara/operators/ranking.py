@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from solvara.session import bounded_broadcast, reliable_checkpoint
 
 _POS_BITS = 33  # monotonically_increasing_id = partition_index << 33 | position
+_MAX_LITERAL_OFFSETS = 20_000  # above this many partitions the offsets travel as a broadcast table
 
 
 def _as_cols(order) -> list[Column]:
@@ -37,9 +38,15 @@ def global_rank(df: DataFrame, order, rank_col: str = "rank") -> DataFrame:
     for p in range(int(max(counts)) + 1 if counts else 0):
         offsets.append(running)
         running += counts.get(p, 0)
-    off_arr = F.lit(offsets if offsets else [0]).cast("array<bigint>")
-    rank = F.element_at(off_arr, (pid + 1).cast("int")) + pos
-    return tagged.withColumn(rank_col, rank.cast("bigint")).drop("_mid")
+    if len(offsets) <= _MAX_LITERAL_OFFSETS:
+        off_arr = F.lit(offsets if offsets else [0]).cast("array<bigint>")
+        rank = F.element_at(off_arr, (pid + 1).cast("int")) + pos
+        return tagged.withColumn(rank_col, rank.cast("bigint")).drop("_mid")
+    # very wide shuffles: one (partition, offset) row per partition, broadcast (bounded by the width)
+    table = df.sparkSession.createDataFrame(list(enumerate(offsets)), "_pid bigint, _off bigint")
+    joined = tagged.withColumn("_pid", pid).join(F.broadcast(table), "_pid", "inner")
+    return (joined.withColumn(rank_col, (F.col("_off") + pos).cast("bigint"))
+            .drop("_mid", "_pid", "_off"))
 
 
 def ntile_expr(rank: Column, n_rows: int, n_tiles: int) -> Column:

@@ -176,3 +176,12 @@ def test_sample_size_zero_and_tiny_sets(spark):
     one = _sim_frame(spark, 1)
     assert sampling.stratified_sample(one, 100).count() == 1
     assert sampling.quota_sample(one, 100).count() == 1
+
+
+def test_global_rank_broadcast_offsets_path(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "_MAX_LITERAL_OFFSETS", 0)
+    rows = [(i, float(i % 13)) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id bigint, v double").repartition(5)
+    ranked = {r["row_id"]: r["rank"] for r in ranking.global_rank(df, ["v", "row_id"]).collect()}
+    want = {rid: k for k, (v, rid) in enumerate(sorted((v, rid) for rid, v in rows))}
+    assert ranked == want
