@@ -129,3 +129,11 @@ def test_streaming_featurize(spark):
     q.stop()
     rows = {r["row_id"]: r["n_set"] for r in spark.sql("SELECT * FROM fp_stream").collect()}
     assert set(rows) == {1, 2} and rows[2] >= 1
+
+
+def test_early_stopping_never_keeps_more_trees(spark, feat):
+    f = feat.withColumn("is_val", F.col("split") == "Validation").where(F.col("split") != "Testing")
+    cfg = {"n_estimators": 25, "learning_rate": 0.5, "depth": 3}
+    stop = models.fit_gbt(f, ["qty", "disc", "tax"], "label", validation_col="is_val", validation_tol=0.01, **cfg)
+    full = models.fit_gbt(f.where(~F.col("is_val")), ["qty", "disc", "tax"], "label", **cfg)
+    assert models.n_trees(stop) <= models.n_trees(full) == 25
