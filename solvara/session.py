@@ -93,3 +93,21 @@ def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFr
     except Exception:  # noqa: BLE001  (no RDD view of this session: leave partitioning to Spark)
         return df
     return df.repartition(target, key)
+
+
+def scale_settings(input_bytes: int, target_partition_bytes: int = 256 << 20,
+                   max_split_bytes: int = 256 << 20) -> dict:
+    """Settings that keep shuffle and scan partitions near ``target_partition_bytes`` at a given scale.
+
+    AQE coalesces small partitions at run time but never splits an aggregate's partition, so the
+    starting shuffle width must be large enough for the biggest stage: one partition per target size of
+    input (e.g. ~400k for 100 TB at 256 MB), never below 200.  Scans are split at ``max_split_bytes``.
+    """
+    width = max(200, -(-int(input_bytes) // int(target_partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(width),
+        "spark.sql.files.maxPartitionBytes": str(int(max_split_bytes)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(int(target_partition_bytes)),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+    }
