@@ -99,3 +99,10 @@ def test_results_do_not_depend_on_shuffle_width(spark, name):
             spark.conf.set("spark.sql.shuffle.partitions", "8")
             spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert run(3) == run(13)
+
+
+def test_scale_settings():
+    from solvara.session import scale_settings
+    big = scale_settings(100 * 2 ** 40)
+    assert int(big["spark.sql.shuffle.partitions"]) == 409600
+    assert scale_settings(1)["spark.sql.shuffle.partitions"] == "200"
