@@ -29,6 +29,8 @@ def get_spark(master: str | None = None, app: str = "solvara",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # checkpoint files are deleted once the DataFrame that wrote them is garbage collected
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -110,4 +112,5 @@ def scale_settings(input_bytes: int, target_partition_bytes: int = 256 << 20,
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(int(target_partition_bytes)),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
