@@ -5,7 +5,7 @@ joins and aggregates.  Rows carry an explicit key (``row_id`` by default) so res
 depend on partitioning.  The most used operators are re-exported here.
 """
 
-from solvara.session import get_spark, ensure_checkpoint_dir, reliable_checkpoint
+from solvara.session import get_spark, ensure_checkpoint_dir, write_once
 from solvara.operators.similarity import lingo_fingerprint, complementary_similarity, isim, medoid, outlier
 from solvara.operators.sampling import stratified_sample, quota_sample, three_way_split, hash_split, k_fold
 from solvara.operators.metrics import (regression_metrics, compute_metrics, calibration_area, nll, ence,
@@ -14,7 +14,7 @@ from solvara.operators.vectors import sentence_vectors, lookup_vectors, readout
 from solvara.operators.graph import circular_fingerprint, identifier_sentences
 
 __all__ = [
-    "get_spark", "ensure_checkpoint_dir", "reliable_checkpoint",
+    "get_spark", "ensure_checkpoint_dir", "write_once",
     "lingo_fingerprint", "complementary_similarity", "isim", "medoid", "outlier",
     "stratified_sample", "quota_sample", "three_way_split", "hash_split", "k_fold",
     "regression_metrics", "compute_metrics", "calibration_area", "nll", "ence",

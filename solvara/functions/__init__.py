@@ -2,9 +2,8 @@
 
 from solvara.functions.expressions import (
     md5_int,
-    safe_div,
     is_finite,
     qgram_bits,
 )
 
-__all__ = ["md5_int", "safe_div", "is_finite", "qgram_bits"]
+__all__ = ["md5_int", "is_finite", "qgram_bits"]

@@ -18,12 +18,6 @@ def md5_int(c: Column) -> Column:
     return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("bigint")
 
 
-def safe_div(num: Column, den: Column, when_zero=None) -> Column:
-    """``num / den`` as double; ``when_zero`` (default NULL) when ``den`` is 0 (ANSI-safe)."""
-    zero = F.lit(when_zero).cast("double") if when_zero is not None else F.lit(None).cast("double")
-    return F.when(den == 0, zero).otherwise(num.cast("double") / den.cast("double"))
-
-
 def is_finite(c: Column) -> Column:
     """True for a value that is not NULL, not NaN and not +/-Infinity."""
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))

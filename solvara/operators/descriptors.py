@@ -12,8 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Above this many columns the pairwise aggregate list gets long; MLlib's Gramian pass is used instead.
-_SQL_CORR_MAX_COLS = 48
+# Pairs per aggregate: the correlation of more columns takes several passes of this many pairs.
+_PAIRS_PER_PASS = 400
 
 
 def _fit_rows(df: DataFrame, fit_on: str | Column | None) -> DataFrame:
@@ -23,32 +23,40 @@ def _fit_rows(df: DataFrame, fit_on: str | Column | None) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols) -> dict[tuple[str, str], float | None]:
-    """Pearson r for every pair i < j of ``cols`` (None when a column is constant or empty).
+    """Pearson r for every pair i < j of ``cols`` over the rows where both are present.
 
-    Up to ``_SQL_CORR_MAX_COLS`` columns: one aggregate of ``covar_pop``/``stddev_pop`` (stable,
-    merged per partition).  Wider tables: ``pyspark.ml.stat.Correlation`` (one Gramian pass).
-    The k x k result is bounded by the column count, not by the data.
+    None when a column is constant over those rows, or there are none.  One rule for any width, in passes of at
+    most ``_PAIRS_PER_PASS`` pairs (stable co-moments, merged per partition): the covariance of a pair already
+    covers just its common rows; deviations over those rows are computed per pair only where a column has
+    missing values, as elsewhere they equal the column's own.  The k x k result is bounded by the column count.
     """
     cols = list(cols)
-    k = len(cols)
+    x = {c: F.col(c).cast("double") for c in cols}
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    cov: dict[tuple[str, str], float | None] = {}
+    n_rows, n_of, dev = 0, {}, {}
+    for at in range(0, max(1, len(pairs)), _PAIRS_PER_PASS):
+        part = pairs[at:at + _PAIRS_PER_PASS]
+        new = [c for c in dict.fromkeys(c for p in part for c in p) if c not in dev]
+        row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(new)],
+                     *[F.stddev_pop(x[c]).alias(f"s{i}") for i, c in enumerate(new)],
+                     *[F.covar_pop(x[a], x[b]).alias(f"c{i}") for i, (a, b) in enumerate(part)]).first()
+        n_rows = row["n"]
+        n_of.update({c: row[f"n{i}"] for i, c in enumerate(new)})
+        dev.update({c: row[f"s{i}"] for i, c in enumerate(new)})
+        cov.update({p: row[f"c{i}"] for i, p in enumerate(part)})
+    both = {p: (dev[p[0]], dev[p[1]]) for p in pairs}
+    partial = [p for p in pairs if n_of[p[0]] < n_rows or n_of[p[1]] < n_rows]
+    for at in range(0, len(partial), _PAIRS_PER_PASS):
+        part = partial[at:at + _PAIRS_PER_PASS]
+        row = df.agg(*[F.stddev_pop(F.when(x[b].isNotNull(), x[a])).alias(f"s{i}") for i, (a, b) in enumerate(part)],
+                     *[F.stddev_pop(F.when(x[a].isNotNull(), x[b])).alias(f"t{i}") for i, (a, b) in enumerate(part)]).first()
+        both.update({p: (row[f"s{i}"], row[f"t{i}"]) for i, p in enumerate(part)})
     out: dict[tuple[str, str], float | None] = {}
-    if k <= _SQL_CORR_MAX_COLS:
-        aggs = [F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]
-        aggs += [F.covar_pop(cols[i], cols[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(i + 1, k)]
-        row = df.agg(*aggs).first()
-        for i in range(k):
-            for j in range(i + 1, k):
-                si, sj, c = row[f"s{i}"], row[f"s{j}"], row[f"c{i}_{j}"]
-                out[(cols[i], cols[j])] = None if (not si or not sj or c is None) else c / (si * sj)
-        return out
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    vec = VectorAssembler(inputCols=cols, outputCol="_v", handleInvalid="skip").transform(df.select(*cols))
-    mat = Correlation.corr(vec, "_v").first()[0].toArray()
-    for i in range(k):
-        for j in range(i + 1, k):
-            r = float(mat[i][j])
-            out[(cols[i], cols[j])] = None if math.isnan(r) else r
+    for p in pairs:
+        c, (s, t) = cov[p], both[p]
+        r = None if c is None or not s or not t else c / (s * t)
+        out[p] = None if r is None or math.isnan(r) else r
     return out
 
 
@@ -92,10 +100,7 @@ class ColumnScaler:
     scale: dict[str, float]
 
     def apply(self, df: DataFrame, suffix: str = "") -> DataFrame:
-        out = df
-        for c in self.center:
-            out = out.withColumn(c + suffix, (F.col(c) - F.lit(self.center[c])) / F.lit(self.scale[c]))
-        return out
+        return df.withColumns({c + suffix: (F.col(c) - F.lit(self.center[c])) / F.lit(self.scale[c]) for c in self.center})
 
     def invert(self, df: DataFrame, scaled_col: str, out_col: str, name: str) -> DataFrame:
         """Map ``scaled_col`` back to the units of fitted column ``name``: z * scale + center."""
@@ -165,11 +170,11 @@ def minmax_scale(df: DataFrame, cols, fit_on=None) -> DataFrame:
     cols = list(cols)
     row = _fit_rows(df, fit_on).agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(cols)],
                                     *[F.max(c).alias(f"hi{i}") for i, c in enumerate(cols)]).first()
-    out = df
+    out = {}
     for i, c in enumerate(cols):
         lo, hi = row[f"lo{i}"], row[f"hi{i}"]
         if lo is None or hi is None or hi == lo:
-            out = out.withColumn(c, F.when(F.col(c).isNotNull(), F.lit(0.0)))
+            out[c] = F.when(F.col(c).isNotNull(), F.lit(0.0))
         else:
-            out = out.withColumn(c, (F.col(c) - F.lit(float(lo))) / F.lit(float(hi) - float(lo)))
-    return out
+            out[c] = (F.col(c) - F.lit(float(lo))) / F.lit(float(hi) - float(lo))
+    return df.withColumns(out)

@@ -40,32 +40,41 @@ def _pearson(cov: Column, sx: Column, sy: Column) -> Column:
         cov / (sx * sy))
 
 
+def _both(label: str, pred: str) -> tuple[Column, Column]:
+    """Label and prediction, each NULL unless both are present: every statistic then covers the same rows."""
+    present = F.col(label).isNotNull() & F.col(pred).isNotNull()
+    return F.when(present, F.col(label).cast("double")), F.when(present, F.col(pred).cast("double"))
+
+
 def regression_metrics(df: DataFrame, label: str = "label", pred: str = "pred", by="split") -> DataFrame:
-    """A8 (+X1, X2): n, MAE, RMSE = sqrt(MSE), R2 per group."""
-    e = F.col(label) - F.col(pred)
+    """A8 (+X1, X2): n, MAE, RMSE = sqrt(MSE), R2 per group, over rows with both values."""
+    y, p = _both(label, pred)
+    e = y - p
     agg = _grouped(df, by).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(y).alias("n"),
         F.avg(F.abs(e)).alias("mae"),
         F.avg(e * e).alias("_mse"),
-        F.var_pop(label).alias("_var"))
+        F.var_pop(y).alias("_var"))
     return agg.select(*_by(by), "n", "mae", F.sqrt("_mse").alias("rmse"),
                       _r2(F.col("_mse"), F.col("_var"), F.col("n")).alias("r2"))
 
 
 def pearson(df: DataFrame, label: str = "label", pred: str = "pred", by="split") -> DataFrame:
-    """Pearson r of label and prediction; NULL when either side is constant."""
-    agg = _grouped(df, by).agg(F.covar_pop(label, pred).alias("_c"), F.stddev_pop(label).alias("_sx"),
-                               F.stddev_pop(pred).alias("_sy"))
+    """Pearson r of label and prediction over rows with both; NULL when either side is constant."""
+    y, p = _both(label, pred)
+    agg = _grouped(df, by).agg(F.covar_pop(y, p).alias("_c"), F.stddev_pop(y).alias("_sx"),
+                               F.stddev_pop(p).alias("_sy"))
     return agg.select(*_by(by), _pearson(F.col("_c"), F.col("_sx"), F.col("_sy")).alias("pearsonr"))
 
 
 def compute_metrics(df: DataFrame, label: str = "label", pred: str = "pred", by="split") -> DataFrame:
-    """A10: mae, rmse, pearsonr, r2 in one aggregate."""
-    e = F.col(label) - F.col(pred)
+    """A10: mae, rmse, pearsonr, r2 in one aggregate, over rows with both values."""
+    y, p = _both(label, pred)
+    e = y - p
     agg = _grouped(df, by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("_mse"),
-        F.var_pop(label).alias("_var"), F.covar_pop(label, pred).alias("_c"),
-        F.stddev_pop(label).alias("_sx"), F.stddev_pop(pred).alias("_sy"))
+        F.count(y).alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("_mse"),
+        F.var_pop(y).alias("_var"), F.covar_pop(y, p).alias("_c"),
+        F.stddev_pop(y).alias("_sx"), F.stddev_pop(p).alias("_sy"))
     return agg.select(*_by(by), "mae", F.sqrt("_mse").alias("rmse"),
                       _pearson(F.col("_c"), F.col("_sx"), F.col("_sy")).alias("pearsonr"),
                       _r2(F.col("_mse"), F.col("_var"), F.col("n")).alias("r2"))
@@ -82,13 +91,19 @@ def ensemble_mean(preds: DataFrame, by="row_id", pred: str = "pred", unc: str |
 def parity_line(df: DataFrame, label: str = "label", step: float = 0.2) -> DataFrame:
     """Points min, min+step, ... below max (``arange`` semantics) for a parity view.
 
-    One aggregate row, then ``explode(sequence)``; the output size is (max-min)/step by definition.
+    The range is cut into runs of ``_LINE_RUN`` points that are dealt over the cluster before they are expanded, so
+    no row holds the whole sequence; the output size is (max-min)/step by definition.
     """
     mm = df.agg(F.min(label).alias("lo"), F.max(label).alias("hi"))
-    n = F.ceil((F.col("hi") - F.col("lo")) / F.lit(step)).cast("int")
-    pts = mm.where(n > 0).select("lo", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    return pts.select(F.col("i").cast("int").alias("i"),
-                      (F.col("lo") + F.col("i") * F.lit(step)).alias("x"))
+    sized = mm.select("lo", F.ceil((F.col("hi") - F.col("lo")) / F.lit(step)).cast("bigint").alias("n")).where("n > 0")
+    last_run = F.floor((F.col("n") - 1) / F.lit(_LINE_RUN)).cast("bigint")
+    runs = sized.select("lo", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), last_run)).alias("run")).repartition("run")
+    first = F.col("run") * F.lit(_LINE_RUN)
+    pts = runs.select("lo", F.explode(F.sequence(first, F.least(first + F.lit(_LINE_RUN), F.col("n")) - 1)).alias("i"))
+    return pts.select("i", (F.col("lo") + F.col("i") * F.lit(step)).alias("x"))
+
+
+_LINE_RUN = 1 << 16
 
 
 # ------------------------------------------------------------------ uncertainty
@@ -131,19 +146,43 @@ def calibration_area(df: DataFrame, label: str = "label", pred: str = "pred", un
                      by="split") -> DataFrame:
     """Miscalibration area = sum_b 0.01 * |observed(b) - b/100| over 99 central intervals.
 
-    observed(b) = share of rows with |e| <= z_b * sqrt(unc).  One aggregate of 99 conditional counts
-    (no join, no sort); rows with unc <= 0 or non-finite values are left out and counted.
+    observed(b) = share of rows with |e| <= z_b * sqrt(unc).  Every row falls into one of 100 buckets (the first
+    level that holds it); a grouped count leaves at most 100 rows per group, which are then summed up.  Rows with
+    unc <= 0 or non-finite values are left out and counted.
     """
+    keys = _by(by)
     ok = _unc_ok(label, pred, unc)
-    t = F.abs(F.col(label) - F.col(pred)) / F.sqrt(F.col(unc))
-    hits = [F.sum(F.when(ok & (t <= F.lit(z)), F.lit(1)).otherwise(F.lit(0))).alias(f"_h{b}")
-            for b, z in enumerate(CAL_Z, start=1)]
-    agg = _grouped(df, by).agg(F.sum(F.when(ok, 1).otherwise(0)).alias("_n"),
-                               F.sum(F.when(ok, 0).otherwise(1)).alias("n_rejected"), *hits)
-    n = F.col("_n").cast("double")
-    area = sum((F.lit(0.01) * F.abs(F.col(f"_h{b}") / n - F.lit(p)) for b, p in enumerate(CAL_LEVELS, start=1)),
-               F.lit(0.0))
-    return agg.select(*_by(by), F.when(n > 0, area).alias("cal_area"), F.col("n_rejected").cast("bigint"))
+    t = F.when(ok, F.abs(F.col(label) - F.col(pred)) / F.sqrt(F.col(unc)))
+    counts = (df.select(*keys, _first_level(t).alias("_b")).groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c")))
+    n_at = F.transform(F.sequence(F.lit(1), F.lit(99)), lambda b: F.coalesce(F.try_element_at(F.col("_m"), b), F.lit(0)))
+    agg = (counts.groupBy(*keys) if keys else counts.groupBy()).agg(
+        F.sum(F.when(F.col("_b").isNotNull(), F.col("_c")).otherwise(0)).alias("_n"),
+        F.sum(F.when(F.col("_b").isNull(), F.col("_c")).otherwise(0)).alias("n_rejected"),
+        F.map_from_entries(F.collect_list(F.when(F.col("_b").isNotNull(), F.struct("_b", "_c")))).alias("_m"))
+    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(0.0).alias("area"), F.lit(1).alias("b"))
+
+    def step(acc, c):
+        seen = acc["seen"] + c
+        gap = F.abs(seen / F.col("_n").cast("double") - acc["b"] / F.lit(100))
+        return F.struct(seen.alias("seen"), (acc["area"] + F.lit(0.01) * gap).alias("area"), (acc["b"] + 1).alias("b"))
+
+    area = F.aggregate(n_at, start, step, lambda acc: acc["area"])
+    return agg.select(*keys, F.when(F.col("_n") > 0, area).alias("cal_area"), F.col("n_rejected").cast("bigint"))
+
+
+def _first_level(t: Column) -> Column:
+    """Smallest b in 1..99 with t <= z_b, 100 beyond the last; NULL for NULL.
+
+    A logistic approximation of the normal distribution is off by far less than one level, so the guess is put
+    right by comparing with the two quantiles next to it.
+    """
+    z = F.array(*[F.lit(x) for x in [0.0, *CAL_Z, float("inf")]])
+    small = F.least(t, F.lit(6.0))
+    share = F.lit(2.0) / (F.lit(1.0) + F.exp(-(F.lit(1.5976) * small + F.lit(0.07056) * small * small * small))) - F.lit(1.0)
+    guess = F.greatest(F.lit(1), F.least(F.lit(100), F.ceil(share * F.lit(100.0)).cast("int")))
+    below, at = F.element_at(z, guess), F.element_at(z, guess + 1)  # z_(guess - 1) and z_guess
+    level = F.when(t <= below, guess - 1).when(t <= at, guess).otherwise(guess + 1)
+    return F.when(t.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(100), level)))
 
 
 def ence(df: DataFrame, label: str = "label", pred: str = "pred", unc: str = "unc",

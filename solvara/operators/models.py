@@ -8,13 +8,14 @@ without a Spark counterpart (``l2_leaf_reg``, ``random_strength``) are recorded
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import PCA, CountVectorizer, HashingTF, IDF, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import PCA, CountVectorizerModel, HashingTF, IDF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solvara.operators.text import SMILES_TOKEN_RE
+from solvara.session import write_once
 
 SEED = 536
 
@@ -28,9 +29,15 @@ GBT_PRESETS = {
 
 
 def gbt_params(n_estimators: int = 20, learning_rate: float = 0.1, depth: int | None = None,
-               rsm: float | None = None, seed: int = SEED, **ignored) -> dict:
-    """Map boosting names to ``GBTRegressor`` params (depth None -> 6, the boosting library default)."""
-    p = {"maxIter": int(n_estimators), "stepSize": float(learning_rate), "seed": seed}
+               rsm: float | None = None, seed: int = SEED, subsample: float = 1.0,
+               l2_leaf_reg: float | None = None, random_strength: float | None = None) -> dict:
+    """Map boosting names to ``GBTRegressor`` params (depth None -> 6, the boosting library default).
+
+    ``l2_leaf_reg`` and ``random_strength`` have no counterpart there: they are accepted and not applied.  Any
+    other name is an error.  ``rsm`` and ``subsample`` below 1 draw features and rows by ``seed``.
+    """
+    p = {"maxIter": int(n_estimators), "stepSize": float(learning_rate), "seed": seed,
+         "subsamplingRate": float(subsample)}
     p["maxDepth"] = int(depth) if depth is not None else 6
     if rsm is not None:
         p["featureSubsetStrategy"] = str(rsm)
@@ -80,12 +87,14 @@ def fit_mean_variance(train: DataFrame, features, label: str, id_col: str = "row
     """A mean model and a variance model.
 
     The variance model is fitted to log((y - pred)^2) where pred comes from models that did not see
-    the row (``folds``-way hash cross-fitting), so it learns out-of-sample error.  ``unc = exp(.)``.
+    the row (``folds``-way hash cross-fitting), so it learns out-of-sample error.  ``unc = exp(.)``.  The training
+    rows are written once, as every fit passes over them; a ``seed`` in ``cfg`` also deals the folds.
     """
     from solvara.operators.sampling import k_fold
 
     cols = list(features)
-    tagged = k_fold(train, id_col, folds, SEED, "_fold")
+    train = write_once(train, "train")
+    tagged = k_fold(train, id_col, folds, cfg.get("seed", SEED), "_fold")
     oof = None
     for f in range(folds):
         m = fit_gbt(tagged.where(F.col("_fold") != f), cols, label, **cfg)
@@ -107,23 +116,27 @@ def predict_mean_variance(mean_model: PipelineModel, var_model: PipelineModel, d
     return with_var.withColumn("unc", F.exp(F.col("_logvar"))).drop("_logvar")
 
 
-def project_2d(bits: DataFrame, id_col: str = "row_id", bits_col: str = "bits") -> DataFrame:
+def bit_vectors(bits: DataFrame, n_bits: int, bits_col: str = "bits", out: str = "features") -> DataFrame:
+    """Sparse 0/1 vectors of fingerprints; bit numbers are known, so no pass is needed to learn a vocabulary."""
+    model = CountVectorizerModel.from_vocabulary([str(i) for i in range(n_bits)], "_w", out)
+    model.setBinary(True)
+    return model.transform(bits.withColumn("_w", F.transform(bits_col, lambda b: b.cast("string")))).drop("_w")
+
+
+def project_2d(bits: DataFrame, id_col: str = "row_id", bits_col: str = "bits", n_bits: int = 512) -> DataFrame:
     """2-D coordinates of fingerprints (principal components of the centred bit matrix).
 
-    Bits become sparse vectors through a binary count vectorizer (vocabulary <= n_bits); the PCA
-    covariance is n_bits x n_bits.  Each axis is centred and its sign fixed so that the largest-magnitude
+    Bits become sparse vectors of ``n_bits`` positions; the PCA covariance is n_bits x n_bits.  Each axis is centred and its sign fixed so that the largest-magnitude
     loading is positive.  Returns ``(row_id, x, y)`` plus the explained variance on the model.
     """
-    as_str = bits.select(id_col, F.transform(bits_col, lambda b: b.cast("string")).alias("_w"))
-    cv = CountVectorizer(inputCol="_w", outputCol="_v", binary=True, minDF=1.0)
-    pca = PCA(k=2, inputCol="_v", outputCol="_p")
-    model = Pipeline(stages=[cv, pca]).fit(as_str)
-    pc = model.stages[-1].pc.toArray()
+    vecs = bit_vectors(bits.select(id_col, bits_col), n_bits, bits_col, "_v").select(id_col, "_v")
+    model = PCA(k=2, inputCol="_v", outputCol="_p").fit(vecs)
+    pc = model.pc.toArray()
     signs = []
     for j in range(pc.shape[1]):
         i = int(abs(pc[:, j]).argmax())
         signs.append(1.0 if pc[i, j] >= 0 else -1.0)
-    proj = model.transform(as_str).select(id_col, vector_to_array("_p").alias("_a"))
+    proj = model.transform(vecs).select(id_col, vector_to_array("_p").alias("_a"))
     xy = proj.select(id_col, (F.col("_a")[0] * F.lit(signs[0])).alias("x"),
                      (F.col("_a")[1] * F.lit(signs[1])).alias("y"))
     means = xy.agg(F.avg("x"), F.avg("y")).first()
@@ -131,11 +144,7 @@ def project_2d(bits: DataFrame, id_col: str = "row_id", bits_col: str = "bits")
                      (F.col("y") - F.lit(means[1] or 0.0)).alias("y"))
 
 
-def explained_variance(bits: DataFrame, bits_col: str = "bits") -> list[float]:
+def explained_variance(bits: DataFrame, bits_col: str = "bits", n_bits: int = 512) -> list[float]:
     """L11 property: explained variance of the first two components (non-increasing)."""
-    as_str = bits.select(F.transform(bits_col, lambda b: b.cast("string")).alias("_w"))
-    model = Pipeline(stages=[CountVectorizer(inputCol="_w", outputCol="_v", binary=True),
-                             PCA(k=2, inputCol="_v", outputCol="_p")]).fit(as_str)
-    return [float(x) for x in model.stages[-1].explainedVariance.toArray()]
-
-
+    vecs = bit_vectors(bits.select(bits_col), n_bits, bits_col, "_v").select("_v")
+    return [float(x) for x in PCA(k=2, inputCol="_v", outputCol="_p").fit(vecs).explainedVariance.toArray()]

@@ -2,8 +2,8 @@
 
 An unpartitioned ``Window.orderBy`` moves every row into one task.  Instead the rows are
 range-partitioned and sorted once (``orderBy``), each row takes its position inside its partition
-from ``monotonically_increasing_id`` (partition index in the upper bits), the result is written to
-the checkpoint folder so both passes see the same ids, and per-partition row counts (one row per
+from ``monotonically_increasing_id`` (partition index in the upper bits), the result is written as
+parquet to the shared folder so both passes see the same ids, and per-partition row counts (one row per
 partition, a bound set by the shuffle width) give each partition's offset.
 """
 
@@ -12,41 +12,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from solvara.session import bounded_broadcast, reliable_checkpoint
+from solvara.session import write_once
 
 _POS_BITS = 33  # monotonically_increasing_id = partition_index << 33 | position
-_MAX_LITERAL_OFFSETS = 20_000  # above this many partitions the offsets travel as a broadcast table
 
 
 def _as_cols(order) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def global_rank(df: DataFrame, order, rank_col: str = "rank") -> DataFrame:
+def global_rank(df: DataFrame, order, rank_col: str = "rank", keep=None) -> DataFrame:
     """Add ``rank_col`` = 0-based position of each row under ``order``.
 
-    ``order`` must be a total order (end it with a unique key) for the result to be deterministic.
-    Plan: one range exchange + sort, one checkpoint write, one tiny aggregate of per-partition counts.
+    ``order`` must be a total order (end it with a unique key) for the result to be deterministic.  Only the
+    columns in ``keep`` (default: all) are written after the sort.
+    Plan: one range exchange + sort, one parquet write, one tiny aggregate of per-partition counts.
     """
-    tagged = df.orderBy(*_as_cols(order)).withColumn("_mid", F.monotonically_increasing_id())
-    tagged = reliable_checkpoint(tagged)
+    keep = list(keep) if keep is not None else df.columns
+    tagged = df.orderBy(*_as_cols(order)).withColumn("_mid", F.monotonically_increasing_id()).select(*keep, "_mid")
+    tagged = write_once(tagged, "rank")
     pid = F.shiftright(F.col("_mid"), _POS_BITS)
     pos = F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
     # one row per non-empty partition: bounded by the shuffle width, not by the data
-    counts = dict(tagged.groupBy(pid.alias("p")).count().collect())
+    counts = sorted(tagged.groupBy(pid.alias("p")).count().collect())
     offsets, running = [], 0
-    for p in range(int(max(counts)) + 1 if counts else 0):
-        offsets.append(running)
-        running += counts.get(p, 0)
-    if len(offsets) <= _MAX_LITERAL_OFFSETS:
-        off_arr = F.lit(offsets if offsets else [0]).cast("array<bigint>")
-        rank = F.element_at(off_arr, (pid + 1).cast("int")) + pos
-        return tagged.withColumn(rank_col, rank.cast("bigint")).drop("_mid")
-    # very wide shuffles: one (partition, offset) row per partition, broadcast (bounded by the width)
-    table = df.sparkSession.createDataFrame(list(enumerate(offsets)), "_pid bigint, _off bigint")
+    for p, n in counts:
+        offsets.append((p, running))
+        running += n
+    table = df.sparkSession.createDataFrame(offsets, "_pid bigint, _off bigint")
     joined = tagged.withColumn("_pid", pid).join(F.broadcast(table), "_pid", "inner")
-    return (joined.withColumn(rank_col, (F.col("_off") + pos).cast("bigint"))
-            .drop("_mid", "_pid", "_off"))
+    return joined.select(*keep, (F.col("_off") + pos).cast("bigint").alias(rank_col))
 
 
 def ntile_expr(rank: Column, n_rows: int, n_tiles: int) -> Column:
@@ -75,14 +70,14 @@ def average_rank(df: DataFrame, value_col: str, key_col: str = "row_id",
 
     Tie groups are contiguous under ``(value, key)``, so the first position of a group is the
     minimum rank inside it; an aggregate per value (pre-aggregated map-side, so a value shared by a
-    third of the rows costs one partial row per task) and an equi-join bring it back.  The per-value
-    table is broadcast when its row count is within the broadcast bound -- then the rows are never
-    shuffled by value and a hot value cannot skew a task; otherwise AQE splits the skewed join.
+    third of the rows costs one partial row per task) is written once and brought back by an equi-join.
+    Its size is then known to Spark, which broadcasts it if small and splits a skewed join otherwise.
+    NULL and NaN values have no rank (NULL) and do not count for the others.
     """
-    ranked = global_rank(df, [value_col, key_col], "_r")
-    groups = bounded_broadcast(
-        ranked.groupBy(value_col).agg(F.min("_r").alias("_lo"), F.count("*").alias("_cnt")))
+    value = F.col(value_col)
+    has_rank = value.isNotNull() & ~F.isnan(value.cast("double"))
+    ranked = global_rank(df.where(has_rank), [value_col, key_col], "_r")
+    groups = write_once(ranked.groupBy(F.col(value_col).alias("_v")).agg(F.min("_r").alias("_lo"), F.count("*").alias("_cnt")), "ties")
     avg = F.col("_lo") + (F.col("_cnt") + F.lit(1)) / F.lit(2.0)
-    return (ranked.join(groups, value_col, "inner")
-            .withColumn(rank_col, avg.cast("double"))
-            .drop("_r", "_lo", "_cnt"))
+    got = ranked.join(groups, ranked[value_col] == groups["_v"], "inner").select(*df.columns, avg.cast("double").alias(rank_col))
+    return got.unionByName(df.where(~has_rank).withColumn(rank_col, F.lit(None).cast("double")))

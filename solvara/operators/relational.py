@@ -53,18 +53,22 @@ def validate(df: DataFrame, smiles: str = "smiles", target: str | None = None,
     """Split rows into (good, rejects); rejects carry the first failing rule as ``reason``.
 
     Rules, in order: missing string, empty string, characters outside the SMILES alphabet,
-    unbalanced ( ), unbalanced [ ], missing or non-finite target.
+    unbalanced ( ), unbalanced [ ], missing or non-finite target.  Brackets are balanced when every prefix
+    has at least as many opening as closing ones and the whole string as many of both.
     """
     s = F.col(smiles)
 
-    def count(ch: str) -> Column:
-        return F.length(s) - F.length(F.replace(s, F.lit(ch), F.lit("")))
+    def unbalanced(opening: str, closing: str) -> Column:
+        marks = F.split(F.regexp_replace(s, rf"[^\{opening}\{closing}]", ""), "")
+        depth = F.aggregate(marks, F.lit(0), lambda d, c: F.when(d < 0, d).when(c == opening, d + 1)
+                            .when(c == closing, d - 1).otherwise(d))
+        return depth != 0
 
     reason = (F.when(s.isNull(), F.lit("missing_smiles"))
               .when(F.length(s) == 0, F.lit("empty_smiles"))
               .when(~s.rlike(SMILES_ALPHABET_RE), F.lit("bad_character"))
-              .when(count("(") != count(")"), F.lit("unbalanced_parentheses"))
-              .when(count("[") != count("]"), F.lit("unbalanced_brackets")))
+              .when(unbalanced("(", ")"), F.lit("unbalanced_parentheses"))
+              .when(unbalanced("[", "]"), F.lit("unbalanced_brackets")))
     if target is not None:
         reason = reason.when(~is_finite(F.col(target)), F.lit("bad_target"))
     tagged = df.withColumn(reason_col, reason)
@@ -111,14 +115,15 @@ def finite_mask(df: DataFrame, c: str, fill: float = 0.0) -> DataFrame:
 def zip_tables(a: DataFrame, b: DataFrame, on: str = "row_id", check: bool = True) -> DataFrame:
     """Column-wise concat by key (the reference concatenates by position).
 
-    With ``check`` the key sets must be equal (two anti joins over the key columns only).
+    With ``check`` every key must occur exactly once on each side; one aggregate over both key columns (partial
+    counts per key, so a repeated key is combined map-side) answers that before the join.
     """
     if check:
-        a_keys, b_keys = a.select(on), b.select(on)
-        unmatched = (a_keys.join(b_keys, on, "left_anti").limit(1).count()
-                     + b_keys.join(a_keys, on, "left_anti").limit(1).count())
-        if unmatched:
-            raise ValueError("zip_tables: key sets differ")
+        both = (a.select(on, F.lit(1).alias("_a"), F.lit(0).alias("_b"))
+                .unionByName(b.select(on, F.lit(0).alias("_a"), F.lit(1).alias("_b"))))
+        wrong = both.groupBy(on).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b")).where("_a <> 1 OR _b <> 1")
+        if wrong.limit(1).count():
+            raise ValueError("zip_tables: key sets differ or keys repeat")
     return a.join(b, on, "inner")
 
 
@@ -148,24 +153,30 @@ def union_splits(dfs) -> DataFrame:
 def dedup_first(df: DataFrame, keys, order: str = "row_id") -> DataFrame:
     """One row per key, the one with the smallest ``order`` value (the *first* row).
 
-    ``min_by`` over a struct is a partial aggregate, so a key holding a large share of the rows is
-    combined map-side instead of being sorted inside one window partition.
+    ``order`` must be a unique number.  The smallest order value per key is a hash aggregate of two fixed-width
+    columns (sha2 of the key and the number; a key holding a large share of the rows is combined map-side), and
+    the rows themselves are picked by a semi join on that number: no row is sorted or carried by its key text.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_first"))
-    return picked.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest])
+    part = [F.coalesce(F.concat(F.lit("v"), F.col(k).cast("string")), F.lit("n")) for k in keys]
+    spelt = part[0] if len(part) == 1 else F.to_json(F.array(*part))
+    digest = F.sha2(spelt, 256)
+    first = df.select(digest.alias("_key"), F.col(order)).groupBy("_key").agg(F.min(order).alias(order))
+    return df.join(first.select(order), order, "left_semi").select(*df.columns)
 
 
 def best_run(metrics: DataFrame, metric: str, by=None, tie: str = "epoch", mode: str = "min") -> DataFrame:
-    """D3: the row with the best (smallest, or largest for ``mode='max'``) metric, ties by ``tie``.
+    """D3: the row with the best (smallest, or largest for ``mode='max'``) metric, ties by ``tie`` (one or more columns).
 
-    With ``by`` it is one row per group (partial aggregate); without, a global top-1.
+    Rows whose metric is NULL or NaN are never the best.  With ``by`` it is one row per group (partial
+    aggregate); without, a global top-1.
     """
-    key = F.struct(F.col(metric) if mode == "min" else -F.col(metric), F.col(tie))
+    ties = [tie] if isinstance(tie, str) else list(tie)
+    metrics = drop_missing(metrics, [metric])
+    key = F.struct(F.col(metric) if mode == "min" else -F.col(metric), *ties)
     if by is None:
         o = F.col(metric).asc() if mode == "min" else F.col(metric).desc()
-        return metrics.orderBy(o, F.col(tie).asc()).limit(1)
+        return metrics.orderBy(o, *[F.col(t).asc() for t in ties]).limit(1)
     by = [by] if isinstance(by, str) else list(by)
     rest = [c for c in metrics.columns if c not in by]
     picked = metrics.groupBy(*by).agg(F.min_by(F.struct(*rest), key).alias("_b"))

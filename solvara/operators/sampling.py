@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from solvara.functions.expressions import md5_int
 from solvara.operators.ranking import global_rank
 from solvara.operators.similarity import complementary_similarity
-from solvara.session import reliable_checkpoint
+from solvara.session import write_once
 
 # Split labels used by the reference's prediction tables.
 TRAINING = "Training"
@@ -31,7 +31,7 @@ def sample_size(n_rows: int, pct) -> int:
 def _narrow(sim: DataFrame, id_col: str, sim_col: str) -> DataFrame:
     """The (key, similarity) pairs written once: every later pass of a sampler reads 16 bytes per row
     instead of re-deriving similarity from the fingerprints (or re-running a semi join upstream)."""
-    return reliable_checkpoint(sim.select(id_col, sim_col))
+    return write_once(sim.select(id_col, sim_col))
 
 
 def stratified_sample(sim: DataFrame, pct, id_col: str = "row_id", sim_col: str = "comp_sim") -> DataFrame:
@@ -108,11 +108,11 @@ def quota_sample(sim: DataFrame, pct, n_bins: int = 10, id_col: str = "row_id",
     return ranked.where(keep).select(id_col)
 
 
-def _sampler(method: str):
+def _sampler(method: str, id_col: str):
     if method == "stratified":
-        return lambda sim, pct: stratified_sample(sim, pct)
+        return lambda sim, pct: stratified_sample(sim, pct, id_col)
     if method == "quota":
-        return lambda sim, pct: quota_sample(sim, pct)
+        return lambda sim, pct: quota_sample(sim, pct, id_col=id_col)
     raise ValueError(f"unknown sampling method {method!r}")
 
 
@@ -122,15 +122,14 @@ def three_way_split(bits: DataFrame, n_bits: int, method: str = "stratified", pc
 
     Sample pct1 % of all rows (train+validation), recompute complementary similarity inside that
     subset, sample pct2 % of it for training; the rest of the subset is validation, everything
-    outside is test.  Returns ``(id_col, split)`` for every input row.  The bit table is read by both
-    rounds, so it is written to the checkpoint folder once (fingerprints are not recomputed); each
-    sampler then writes its narrow (key, similarity) input once, so the inner semi join runs once too.
+    outside is test.  Returns ``(id_col, split)`` for every input row.  The bit table and the subset's bit
+    table are read several times each, so both are written to the shared folder once: fingerprints are not
+    recomputed and the semi join runs once.  The label comes from two joins of narrow ids.
     """
-    sample = _sampler(method)
-    bits = reliable_checkpoint(bits.select(id_col, bits_col))
-    outer = sample(complementary_similarity(bits, n_bits, bits_col, id_col), pct1)
-    outer = reliable_checkpoint(outer)
-    inner_bits = bits.join(outer, id_col, "left_semi")
+    sample = _sampler(method, id_col)
+    bits = write_once(bits.select(id_col, bits_col), "bits")
+    outer = write_once(sample(complementary_similarity(bits, n_bits, bits_col, id_col), pct1), "outer")
+    inner_bits = write_once(bits.join(outer, id_col, "left_semi"), "inner-bits")
     inner = sample(complementary_similarity(inner_bits, n_bits, bits_col, id_col), pct2)
     flagged = (bits.select(id_col)
                .join(outer.withColumn("_o", F.lit(True)), id_col, "left")

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solvara.functions.expressions import qgram_bits
-from solvara.session import spread
 
 
 def lingo_fingerprint(df: DataFrame, smiles: str = "smiles", q: int = 4, n_bits: int = 512,
@@ -23,7 +22,7 @@ def lingo_fingerprint(df: DataFrame, smiles: str = "smiles", q: int = 4, n_bits:
 
     Returns ``(id_col, out)`` with ``out`` the sorted distinct set bits.  No shuffle: a projection.
     """
-    return spread(df, id_col).select(F.col(id_col), qgram_bits(F.col(smiles), q, n_bits).alias(out))
+    return df.select(F.col(id_col), qgram_bits(F.col(smiles), q, n_bits).alias(out))
 
 
 @dataclass(frozen=True)
@@ -57,19 +56,13 @@ def isim(bits_df: DataFrame, n_bits: int, bits_col: str = "bits") -> DataFrame:
 
     Returns one row ``(n_rows, a_pairs, d_pairs, isim)``; isim = a / (a + d), 0 when a + d = 0.
     """
-    n = bits_df.count()
-    dec = "decimal(38,0)"
-    k = F.col("k").cast(dec)
-    per_bit = (bits_df.select(F.explode_outer(bits_col).alias("bit")).where(F.col("bit").isNotNull())
-               .groupBy("bit").agg(F.count("*").alias("k")))
-    sums = per_bit.agg(
-        F.coalesce(F.sum(k * (k - F.lit(1)) / F.lit(2)), F.lit(0)).cast(dec).alias("a_pairs"),
-        F.coalesce(F.sum(k * (F.lit(n).cast(dec) - k)), F.lit(0)).cast(dec).alias("d_pairs"))
-    den = F.col("a_pairs") + F.col("d_pairs")
-    return sums.select(
-        F.lit(n).cast("bigint").alias("n_rows"), "a_pairs", "d_pairs",
-        F.when(den == 0, F.lit(0.0)).otherwise(
-            F.col("a_pairs").cast("double") / den.cast("double")).alias("isim"))
+    st = bit_stats(bits_df, n_bits, bits_col)  # one pass: the row count comes with the bit counts
+    a = sum(k * (k - 1) // 2 for k in st.counts.values())
+    d = sum(k * (st.n_rows - k) for k in st.counts.values())
+    value = float(a) / float(a + d) if a + d else 0.0
+    return bits_df.sparkSession.createDataFrame(
+        [(st.n_rows, Decimal(a), Decimal(d), value)],
+        "n_rows bigint, a_pairs decimal(38,0), d_pairs decimal(38,0), isim double")
 
 
 def complementary_similarity(bits_df: DataFrame, n_bits: int, bits_col: str = "bits",

@@ -1,8 +1,7 @@
 """Model text, SMILES tokens, vocabulary and fixed-length encoding: X3, X4, X5.
 
 All steps are column expressions over the whole string; the only aggregate is the vocabulary count
-(map-side partials per token), and the vocabulary -- at most ``size`` entries, a parameter -- travels
-to the tasks as one literal map.
+(map-side partials per token); ids are attached by an ordinary join on the token.
 """
 
 from __future__ import annotations
@@ -10,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from solvara.session import spread
 
 # SMILES token pattern from the reaction-prediction literature -- a bracket atom, the
 # two-letter halogens Br and Cl, single-letter organic atoms (upper and aromatic lower case), bond and
@@ -23,18 +21,16 @@ PAD_ID, UNK_ID = 0, 1
 def model_text(df: DataFrame, text: str, num_cols, sep: str = " [SEP] ", digits: int = 2,
                out: str = "model_text") -> DataFrame:
     """``"{text}{sep}{x:.digits f}..."``; numbers use a fixed format (Spark's default double
-    rendering would print 1.0E7 where Python prints 10000000.0)."""
-    parts = [F.col(text)] + [F.format_string(f"%.{digits}f", F.col(c).cast("double")) for c in num_cols]
+    rendering would print 1.0E7 where Python prints 10000000.0).  A NULL text counts as empty and a NULL number
+    is written ``nan``; the separators always stay."""
+    parts = [F.coalesce(F.col(text), F.lit(""))]
+    parts += [F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), F.lit("nan")).otherwise(
+        F.format_string(f"%.{digits}f", F.col(c).cast("double"))) for c in num_cols]
     return df.withColumn(out, F.concat_ws(sep, *parts))
 
 
-def tokenize_smiles(df: DataFrame, c: str, out: str = "tokens", key: str | None = "row_id") -> DataFrame:
-    """SMILES tokens of the whole string, in order (characters outside the pattern are skipped).
-
-    The regex pass is CPU-bound, so a small input is first spread over the cores by ``key``.
-    """
-    if key and key in df.columns:
-        df = spread(df, key)
+def tokenize_smiles(df: DataFrame, c: str, out: str = "tokens") -> DataFrame:
+    """SMILES tokens of the whole string, in order (characters outside the pattern are skipped)."""
     return df.withColumn(out, F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(SMILES_TOKEN_RE), 1))
 
 
@@ -54,24 +50,25 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", size: int = 1000) -> Data
     return top.select("token", (F.row_number().over(w) + F.lit(UNK_ID)).cast("int").alias("id"))
 
 
-def encode(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", max_length: int = 512) -> DataFrame:
+def encode(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", max_length: int = 512,
+           id_col: str = "row_id") -> DataFrame:
     """``input_ids`` (truncated to ``max_length``, right-padded with 0) and ``attention_mask``.
 
     Truncation to the model's input length is the encoder's definition; ``n_tokens`` keeps the full
-    token count of the whole text.
+    token count of the whole text.  The first ``max_length`` tokens of a row are joined to the vocabulary by
+    token (Spark broadcasts the vocabulary if its size statistics allow) and gathered again by ``id_col``, which
+    must be unique: at most ``max_length`` ids per row, whatever the vocabulary's size.
     """
-    entries = vocab.collect()  # <= vocabulary size rows (a parameter, not the data)
-    keys = [r["token"] for r in entries]
-    vals = [int(r["id"]) for r in entries]
-    vmap = F.map_from_arrays(F.lit(keys).cast("array<string>"), F.lit(vals).cast("array<int>")) if keys else None
-    kept = F.slice(F.col(tokens), 1, max_length)
-
-    def lookup(t):
-        return F.coalesce(F.try_element_at(vmap, t), F.lit(UNK_ID)) if vmap is not None else F.lit(UNK_ID)
-
-    ids = F.transform(kept, lookup)
-    pad = F.greatest(F.lit(max_length) - F.size(ids), F.lit(0))
-    return (df.withColumn("n_tokens", F.size(F.col(tokens)))
-            .withColumn("input_ids", F.concat(ids, F.array_repeat(F.lit(PAD_ID), pad)))
-            .withColumn("attention_mask", F.concat(F.array_repeat(F.lit(1), F.size(ids)),
-                                                   F.array_repeat(F.lit(0), pad))))
+    kept = F.slice(F.coalesce(F.col(tokens), F.array().cast("array<string>")), 1, max_length)
+    long = df.select(id_col, F.posexplode(kept).alias("_p", "_t"))
+    ids = (long.join(vocab.select(F.col("token").alias("_t"), F.col("id").alias("_i")), "_t", "left")
+           .groupBy(id_col)
+           .agg(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("_i", F.lit(UNK_ID)).alias("_i")))).alias("_s")))
+    found = ids.select(F.col(id_col), F.transform("_s", lambda s: s["_i"]).alias("_ids"))
+    real = F.coalesce(F.col("_ids"), F.array().cast("array<int>"))
+    pad = F.greatest(F.lit(max_length) - F.size(real), F.lit(0))
+    return (df.join(found, id_col, "left")
+            .withColumns({"n_tokens": F.size(F.coalesce(F.col(tokens), F.array().cast("array<string>"))),
+                          "input_ids": F.concat(real, F.array_repeat(F.lit(PAD_ID), pad)),
+                          "attention_mask": F.concat(F.array_repeat(F.lit(1), F.size(real)), F.array_repeat(F.lit(0), pad))})
+            .drop("_ids"))

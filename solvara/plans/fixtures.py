@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from solvara.operators.ranking import global_rank
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -163,14 +165,15 @@ def fx_nodes(spark, sf_dir) -> DataFrame:
     """(mol_id, atom_id, vec ARRAY<FLOAT>): one 64-value vector per atom, from the embeddings table."""
     a = fx_atoms(spark, sf_dir)
     e = table(spark, sf_dir, "embeddings")
-    # embeddings has a fixed, small key range; the join key is computed on the atom side
-    keyed = a.withColumn("vec_id", ((F.col("mol_id") * 7 + F.col("atom_id")) % 500).cast("bigint"))
+    # atoms are dealt over all embeddings rows, so no key gets more than its share as the table grows
+    n = max(1, e.count())
+    keyed = a.withColumn("vec_id", ((F.col("mol_id") * 7 + F.col("atom_id")) % n).cast("bigint"))
     return keyed.join(e.select("vec_id", F.col("embedding").alias("vec")), "vec_id", "inner").drop("vec_id")
 
 
 FX_NODES_SQL = (
     f"SELECT a.mol_id, a.atom_id, e.embedding AS vec FROM ({FX_ATOMS_SQL}) a "
-    "JOIN embeddings e ON (a.mol_id * 7 + a.atom_id) % 500 = e.vec_id")
+    "JOIN embeddings e ON (a.mol_id * 7 + a.atom_id) % (SELECT count(*) FROM embeddings) = e.vec_id")
 
 
 # ---------------------------------------------------------------- FX-SIGMA
@@ -193,26 +196,23 @@ FX_WORDVEC_SQL = f"""
 WITH w AS (SELECT unnest(string_split(smiles, ' ')) AS word FROM ({FX_DOC_SQL}) d),
      c AS (SELECT word, count(*) AS n FROM w WHERE word <> '' AND word <> 'UNK' GROUP BY word),
      r AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS vec_id FROM c)
-SELECT r.word, e.embedding AS vec FROM r JOIN embeddings e ON r.vec_id = e.vec_id WHERE r.vec_id BETWEEN 1 AND 499
+SELECT r.word, e.embedding AS vec FROM r JOIN embeddings e ON r.vec_id = e.vec_id
 UNION ALL SELECT 'UNK' AS word, embedding AS vec FROM embeddings WHERE vec_id = 0"""
 
 
-def fx_wordvec(spark, sf_dir) -> DataFrame:
-    """(word, vec): the 499 most frequent words of the documents plus ``UNK`` (<= 500 rows).
+def word_table(words: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(word, vec): the word of rank k by count, then by name, gets the embeddings row k; ``UNK`` gets row 0.
 
-    The top-499 is the feature (a vocabulary of fixed size); it is taken with ``orderBy().limit()``,
-    which Spark plans as a per-partition top-k followed by a merge.
+    Every embeddings row after the first is used as long as there are words; ranks come from one sorted pass.
     """
-    d = fx_doc(spark, sf_dir)
-    words = d.select(F.explode(F.split("smiles", " ")).alias("word"))
-    counts = (words.where((F.col("word") != "") & (F.col("word") != "UNK"))
-              .groupBy("word").agg(F.count("*").alias("n")))
-    top = counts.orderBy(F.col("n").desc(), F.col("word").asc()).limit(499)
-    # positions 1..499 of the top list: bounded (<= 499 rows), so ranking them in one task is fine
-    from pyspark.sql import Window
-    ranked = top.withColumn("vec_id", F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("word").asc())))
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("vec_id"),
-                                                 F.col("embedding").alias("vec"))
-    vocab = ranked.join(e, "vec_id", "inner").select("word", "vec")
-    unk = e.where(F.col("vec_id") == 0).select(F.lit("UNK").alias("word"), "vec")
-    return vocab.unionByName(unk)
+    counts = words.where((F.col("word") != "") & (F.col("word") != "UNK")).groupBy("word").agg(F.count("*").alias("n"))
+    ranked = global_rank(counts, [F.col("n").desc(), F.col("word").asc()], "r", keep=["word"])
+    e = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").alias("vec"))
+    vocab = ranked.select("word", (F.col("r") + 1).alias("vec_id")).join(e, "vec_id", "inner").select("word", "vec")
+    return vocab.unionByName(e.where(F.col("vec_id") == 0).select(F.lit("UNK").alias("word"), "vec"))
+
+
+def fx_wordvec(spark, sf_dir) -> DataFrame:
+    """The word table of the documents' space-separated words."""
+    words = fx_doc(spark, sf_dir).select(F.explode(F.split("smiles", " ")).alias("word"))
+    return word_table(words, table(spark, sf_dir, "embeddings"))

@@ -70,7 +70,7 @@ def a11_ensemble_mean(spark, sf_dir):
 
 
 @register("x6_parity_line",
-          "SELECT CAST(i AS INTEGER) AS i, 0.0 + round(lo + i * 0.2, 6) AS x FROM ("
+          "SELECT CAST(i AS BIGINT) AS i, 0.0 + round(lo + i * 0.2, 6) AS x FROM ("
           "SELECT lo, unnest(range(0, CAST(ceil((hi - lo) / 0.2) AS BIGINT))) AS i FROM ("
           f"SELECT min(log10(label)) AS lo, max(log10(label)) AS hi FROM {PRED} p) a) b")
 def x6_parity_line(spark, sf_dir):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from solvara.operators import metrics, models, relational as rel, sampling, similarity, vectors
 from solvara.plans import fixtures as fx
 from solvara.plans.registry import register
-from solvara.session import reliable_checkpoint
+from solvara.session import write_once
 from solvara.sources import tables as io
 
 FEATS = ["qty", "disc", "tax"]
@@ -79,7 +79,7 @@ def l5_mean_variance(spark, sf_dir):
 @register("l11_project_2d")
 def l11_project_2d(spark, sf_dir):
     """2-D coordinates of the document fingerprints, labelled with the three-way split."""
-    bits = reliable_checkpoint(similarity.lingo_fingerprint(fx.fx_doc(spark, sf_dir), "smiles", 4, 512))
+    bits = write_once(similarity.lingo_fingerprint(fx.fx_doc(spark, sf_dir), "smiles", 4, 512))
     xy = models.project_2d(bits)
     split = sampling.three_way_split(bits, 512, "quota", 90, 94.45)
     return xy.join(split, "row_id", "inner")
@@ -116,7 +116,7 @@ def flow_a_split_featurize_fit(spark, sf_dir):
     feats = rel.assemble(sv.join(docs.select("row_id", "temp", "label"), "row_id"), "vec", ["temp"], "x")
     from pyspark.ml.functions import array_to_vector
     table = feats.join(split, "row_id").select("row_id", "split", "label", array_to_vector("x").alias("features"))
-    table = reliable_checkpoint(table)
+    table = write_once(table)
     model = models.fit_gbt(rel.split_rows(table, "Training"), "features", "label", **CFG)
     scored = models.score(model, table)
     return metrics.regression_metrics(scored, "label", "pred", "split")
@@ -135,7 +135,7 @@ def flow_b_uncertainty_report(spark, sf_dir):
     paths = {name: io.write_table(rel.split_rows(f, name).drop("split"), io.scratch_path(spark, name), "csv")
              for name in ("Training", "Validation", "Testing")}
     t = io.read_splits(spark, paths, "row_id bigint, label double, qty double, disc double, tax double")
-    t = reliable_checkpoint(rel.drop_missing(t, ["label"]))
+    t = write_once(rel.drop_missing(t, ["label"]))
     rel.require_nonempty(t)
     from solvara.operators import descriptors as ds
     scaler = ds.fit_target_scaler(t, "label")
@@ -143,13 +143,13 @@ def flow_b_uncertainty_report(spark, sf_dir):
     train = rel.split_rows(z, "Training")
     runs = []
     for seed in (536, 537):
-        mm, vm = models.fit_mean_variance(train, FEATS, "label_z", seed=seed, **CFG)
+        mm, vm = models.fit_mean_variance(train, FEATS, "label_z", seed=seed, rsm=0.8, subsample=0.8, **CFG)
         runs.append(models.predict_mean_variance(mm, vm, z).select("row_id", "pred", "unc"))
     ens = metrics.ensemble_mean(runs[0].unionByName(runs[1]), "row_id", "pred", "unc")
     # back to label units: pred * s + m, variance * s^2
     s = scaler.scale["label"]
     back = scaler.invert(ens, "pred", "pred", "label").withColumn("unc", F.col("unc") * F.lit(s * s))
-    scored = reliable_checkpoint(t.join(back, "row_id", "inner"))
+    scored = write_once(t.join(back, "row_id", "inner"))
     s2 = metrics.fit_z_scaling(scored, fit_on="Validation")
     cal = metrics.apply_z_scaling(scored, s2, "unc", "cal_unc").drop("unc").withColumnRenamed("cal_unc", "unc")
     test = rel.split_rows(cal, "Testing")

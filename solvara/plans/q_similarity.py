@@ -8,7 +8,7 @@ from solvara.operators import ranking, sampling, similarity
 from solvara.plans import fixtures as fx
 from solvara.plans import oracle as orc
 from solvara.plans.registry import register
-from solvara.session import reliable_checkpoint
+from solvara.session import write_once
 
 Q, NBITS = 4, 512
 
@@ -16,7 +16,7 @@ Q, NBITS = 4, 512
 def _bits(spark, sf_dir, n_bits=NBITS, keep=True):
     """Fingerprints of the documents; written to the checkpoint folder once when read by several passes."""
     b = similarity.lingo_fingerprint(fx.fx_doc(spark, sf_dir), "smiles", Q, n_bits)
-    return reliable_checkpoint(b) if keep else b
+    return write_once(b) if keep else b
 
 
 @register("f1_lingo_fingerprint", orc.with_bits(

@@ -19,7 +19,7 @@ def s1_s2_csv_round_trip(spark, sf_dir):
     """Write the prediction table as CSV (S2) and read it back with a declared schema."""
     path = io.scratch_path(spark, "pred-csv")
     io.write_table(fx.fx_pred(spark, sf_dir), path, "csv")
-    return io.read_table(spark, path, PRED_SCHEMA, encoding="UTF-8")
+    return io.read_table(spark, path, PRED_SCHEMA)
 
 
 @register("s1_text_round_trip", "SELECT doc_id, text, lang FROM documents")
@@ -28,7 +28,7 @@ def s1_text_round_trip(spark, sf_dir):
     path = io.scratch_path(spark, "docs-csv")
     docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     io.write_table(docs, path, "csv")
-    return io.read_table(spark, path, "doc_id bigint, text string, lang string", encoding="UTF-8")
+    return io.read_table(spark, path, "doc_id bigint, text string, lang string", multi_line=True)
 
 
 @register("s3_feature_round_trip",
@@ -111,26 +111,44 @@ def p7_drop_missing(spark, sf_dir):
 
 
 _ALPHA_DUCK = r"[A-Za-z0-9()\[\]=#\-+\\/:~@?>*$%.]+"
-_CNT = "(length(smiles) - length(replace(smiles, '{c}', '')))"
+# Strings to validate: whole texts whose commas and line breaks stand for brackets (so nesting goes wrong in some),
+# urls, their query parts (often empty) and label values (missing for unlabelled documents).
+P8_INPUT_SQL = """
+SELECT doc_id * 8 AS row_id, replace(replace(replace(replace(text, ',', '('), chr(10), ')'), ' ', ''), '|', '[') AS smiles FROM documents
+UNION ALL SELECT page_id * 8 + 1, url FROM pages
+UNION ALL SELECT page_id * 8 + 2, regexp_extract(url, '[?]([^#]*)', 1) FROM pages
+UNION ALL SELECT d.doc_id * 8 + 3, CAST(min(l.quality) AS VARCHAR) FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.doc_id
+UNION ALL SELECT conv_id * 8000 + turn * 8 + 4, text FROM conversations"""
+
+
+def _depth_sql(opening: str, closing: str) -> str:
+    marks = f"regexp_replace(smiles, '[^\\{opening}\\{closing}]', '', 'g')"
+    steps = (f"list_prepend(0, list_transform(string_split({marks}, ''), "
+             f"lambda c: CASE c WHEN '{opening}' THEN 1 WHEN '{closing}' THEN -1 ELSE 0 END))")
+    return f"list_reduce({steps}, lambda d, x: CASE WHEN d < 0 THEN d ELSE d + x END)"
+
+
 P8_SQL = f"""
-SELECT row_id, reason FROM (
-  SELECT row_id, CASE WHEN smiles IS NULL THEN 'missing_smiles'
-                      WHEN length(smiles) = 0 THEN 'empty_smiles'
-                      WHEN NOT regexp_full_match(smiles, '{_ALPHA_DUCK}') THEN 'bad_character'
-                      WHEN {_CNT.format(c='(')} <> {_CNT.format(c=')')} THEN 'unbalanced_parentheses'
-                      WHEN {_CNT.format(c='[')} <> {_CNT.format(c=']')} THEN 'unbalanced_brackets'
-                 END AS reason
-  FROM (SELECT doc_id AS row_id, CASE WHEN source = 'src0' THEN NULL ELSE
-               array_to_string(list_filter(string_split(text, ' '), lambda w: length(w) > 0 AND length(w) % 3 = 0), '')
-               END AS smiles FROM documents) d) t"""
+SELECT row_id, CASE WHEN smiles IS NULL THEN 'missing_smiles'
+                    WHEN length(smiles) = 0 THEN 'empty_smiles'
+                    WHEN NOT regexp_full_match(smiles, '{_ALPHA_DUCK}') THEN 'bad_character'
+                    WHEN {_depth_sql('(', ')')} <> 0 THEN 'unbalanced_parentheses'
+                    WHEN {_depth_sql('[', ']')} <> 0 THEN 'unbalanced_brackets'
+               END AS reason
+FROM ({P8_INPUT_SQL}) t"""
 
 
 def p8_input(spark, sf_dir):
-    """Molecule-like strings derived from documents: words of length divisible by 3, concatenated."""
-    d = fx.table(spark, sf_dir, "documents")
-    words = F.filter(F.split("text", " "), lambda w: (F.length(w) > 0) & (F.length(w) % 3 == 0))
-    s = F.when(F.col("source") == "src0", F.lit(None).cast("string")).otherwise(F.array_join(words, ""))
-    return d.select(F.col("doc_id").alias("row_id"), s.alias("smiles"))
+    """(row_id, smiles) of ``P8_INPUT_SQL``: every rule of the validator meets whole strings."""
+    t = lambda name: fx.table(spark, sf_dir, name)
+    docs, pages = t("documents"), t("pages")
+    labels = t("labels").groupBy("doc_id").agg(F.min("quality").cast("string").alias("smiles"))
+    parts = [docs.select(F.col("doc_id") * 8, F.translate("text", ",\n| ", "()[")),
+             pages.select(F.col("page_id") * 8 + 1, "url"),
+             pages.select(F.col("page_id") * 8 + 2, F.regexp_extract("url", "[?]([^#]*)", 1)),
+             docs.select("doc_id").distinct().join(labels, "doc_id", "left").select(F.col("doc_id") * 8 + 3, "smiles"),
+             t("conversations").select(F.col("conv_id") * 8000 + F.col("turn") * 8 + 4, "text")]
+    return rel.union_splits([p.toDF("row_id", "smiles") for p in parts])
 
 
 @register("p8_validate", P8_SQL)
@@ -231,7 +249,7 @@ def d2_sort_string_key(spark, sf_dir):
     """Deduplicate texts, then sort ascending by the string (byte order = code-point order)."""
     d = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
     u = rel.dedup_first(d, ["text"], "row_id")
-    return ranking.global_rank(u, ["text", "row_id"], "sort_rank").select("row_id", "sort_rank")
+    return ranking.global_rank(u, ["text", "row_id"], "sort_rank", keep=["row_id"])
 
 
 @register("d3_best_epoch_per_run",
@@ -244,5 +262,4 @@ def d3_best_epoch_per_run(spark, sf_dir):
 @register("d3_best_run",
           f"SELECT run_id, epoch, val_loss_c FROM ({fx.FX_RUNS_SQL}) r ORDER BY val_loss_c, run_id, epoch LIMIT 1")
 def d3_best_run(spark, sf_dir):
-    runs = fx.fx_runs(spark, sf_dir)
-    return runs.orderBy("val_loss_c", "run_id", "epoch").limit(1).select("run_id", "epoch", "val_loss_c")
+    return rel.best_run(fx.fx_runs(spark, sf_dir), "val_loss_c", tie=["run_id", "epoch"]).select("run_id", "epoch", "val_loss_c")

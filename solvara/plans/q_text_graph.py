@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from solvara.operators import graph, text, vectors
 from solvara.plans import fixtures as fx
 from solvara.plans.registry import register
-from solvara.session import reliable_checkpoint
+from solvara.session import write_once
 from solvara.sources import tables as io
 
 H = "('0x' || substr(md5({x}), 1, 8))::BIGINT"
@@ -43,7 +43,7 @@ def x4_tokenize_smiles(spark, sf_dir):
     return t.select("row_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens_text"))
 
 
-VOCAB_SIZE, MAX_LEN = 20, 512
+VOCAB_SIZE, MAX_LEN = 1000, 512
 ENCODE_SQL = f"""
 WITH tok AS ({TOK_SQL}),
 cnt AS (SELECT token, count(*) AS n FROM (SELECT unnest(toks) AS token FROM tok) u GROUP BY token),
@@ -166,7 +166,7 @@ F2_SQL = (_graph_sql(2) + " SELECT mol_id, CAST(count(DISTINCT id % 2048) AS INT
 
 @register("f2_circular_fingerprint", F2_SQL)
 def f2_circular_fingerprint(spark, sf_dir):
-    atoms = reliable_checkpoint(fx.fx_atoms(spark, sf_dir))
+    atoms = write_once(fx.fx_atoms(spark, sf_dir), "atoms")
     fp = graph.circular_fingerprint(atoms, fx.fx_bonds(spark, sf_dir, atoms), 2, 2048)
     return fp.select("mol_id", F.size("bits").alias("n_set"), F.array_join("bits", ",").alias("bits_text"))
 
@@ -174,7 +174,7 @@ def f2_circular_fingerprint(spark, sf_dir):
 @register("f3_identifier_sentences",
           _graph_sql(1) + " SELECT mol_id, atom_id, CAST(radius AS INTEGER) AS radius, CAST(id AS VARCHAR) AS word FROM allids")
 def f3_identifier_sentences(spark, sf_dir):
-    atoms = reliable_checkpoint(fx.fx_atoms(spark, sf_dir))
+    atoms = write_once(fx.fx_atoms(spark, sf_dir))
     return graph.identifier_sentences(atoms, fx.fx_bonds(spark, sf_dir, atoms), 1)
 
 

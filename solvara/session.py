@@ -4,12 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Broadcast only below this many rows unless a caller proves a tighter bound.
-DEFAULT_BROADCAST_ROWS = 200_000
 
 
 def get_spark(master: str | None = None, app: str = "solvara",
@@ -44,9 +41,9 @@ def get_spark(master: str | None = None, app: str = "solvara",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; create a scratch one only when it is unset.
+    """Use the cluster's ``spark.checkpoint.dir``; create a scratch one only for a ``local`` master.
 
-    The fallback is for local runs and tests; on a cluster the setting names a shared folder.
+    On a cluster the setting must name a shared folder: a machine-local one would be seen by one machine only.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,47 +51,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="solvara-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` in the shared checkpoint folder and cut its lineage.
-
-    Used where two later passes must see identical rows (e.g. ids assigned after a sort);
-    a reliable checkpoint also survives the loss of the executors that computed it.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                      known_rows: int | None = None) -> DataFrame:
-    """Hint a broadcast only when the side is proven small; otherwise leave it to a shuffle join.
-
-    ``known_rows`` is an upper bound the caller already knows (e.g. ``n_bits``); without one the
-    rows are counted, which for a parquet scan is a metadata-only job.
-    """
-    n = known_rows if known_rows is not None else df.count()
-    return F.broadcast(df) if n <= max_rows else df
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared checkpoint directory; deleted when the application ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/solvara-io/{name}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    hadoop_path = sc._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path
 
 
-def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
-    """Hash-partition ``df`` by ``key`` when it has fewer partitions than the cluster has cores.
+def write_once(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` as parquet below the shared folder and return the reread table.
 
-    For CPU-heavy per-row work on a small input (one file -> one task).  A large input already has
-    enough partitions and is left alone, so no shuffle is added at scale.
+    Used where later passes must see identical rows, or would otherwise repeat the work.  Unlike a row
+    checkpoint the reread table keeps column pruning, filter pushdown and size statistics, so Spark itself
+    decides whether a side is small enough to broadcast.
     """
-    if df.isStreaming:
-        return df
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # noqa: BLE001  (no RDD view of this session: leave partitioning to Spark)
-        return df
-    return df.repartition(target, key)
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scale_settings(input_bytes: int, target_partition_bytes: int = 256 << 20,

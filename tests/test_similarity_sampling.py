@@ -178,8 +178,7 @@ def test_sample_size_zero_and_tiny_sets(spark):
     assert sampling.quota_sample(one, 100).count() == 1
 
 
-def test_global_rank_broadcast_offsets_path(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "_MAX_LITERAL_OFFSETS", 0)
+def test_global_rank_offsets(spark):
     rows = [(i, float(i % 13)) for i in range(300)]
     df = spark.createDataFrame(rows, "row_id bigint, v double").repartition(5)
     ranked = {r["row_id"]: r["rank"] for r in ranking.global_rank(df, ["v", "row_id"]).collect()}
