@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from .common import held_out, learnable, python_tasks
 
 DICTIONARY_BYTES = 32 << 10
-DOCS_PER_LANGUAGE = 60
+DOCS_PER_LANGUAGE = 120
 MAX_LANGUAGES = 64
-BLOCK_BYTES = 4 << 10
+BLOCK_BYTES = 2 << 10
 LEVEL = 5
 MIN_MARGIN = 0.005
 UNDETERMINED = "und"
@@ -71,8 +71,10 @@ class Classifier:
         self.compressors = []
         for raw in dictionaries.values():
             d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
-            settings = z.ZstdCompressionParameters.from_level(level, source_size=BLOCK_BYTES, dict_size=len(raw),
-                                                              write_content_size=False)
+            # optimal parsing with 3-byte matches: short pieces of words count, which greedy levels overlook
+            settings = z.ZstdCompressionParameters.from_level(
+                level, source_size=BLOCK_BYTES, dict_size=len(raw), write_content_size=False,
+                strategy=z.STRATEGY_BTOPT, min_match=3, search_log=5)
             d.precompute_compress(compression_params=settings)
             self.compressors.append(z.ZstdCompressor(dict_data=d, compression_params=settings))
 
