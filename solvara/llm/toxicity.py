@@ -152,10 +152,14 @@ def _learn_entries(sample: DataFrame) -> dict[str, float]:
     other = {r["entry"]: r["n"] for r in sample.where("label = 0").select("text").mapInArrow(tally, "entry string, n long")
              .groupBy("entry").agg(F.sum("n").alias("n")).collect()}
     chosen: dict[str, float] = {}
+    covered: set[str] = set()
     for e in sorted(frequent, key=lambda e: (e.endswith("$"), len(e), e)):
         ratio = (frequent[e] + 0.5) / (n_pos + 1) / ((other.get(e, 0) + 0.5) / (n_neg + 1))
-        if ratio >= LEAST_RATIO and not any(e[:k] in chosen for k in PREFIXES if k <= len(e.rstrip("$"))):
-            chosen[e] = float(np.log(ratio))
+        if ratio >= LEAST_RATIO and not any(e[:k] in covered for k in PREFIXES if k <= len(e.rstrip("$"))):
+            covered.add(e)
+            # a longer beginning that is nearly as frequent says the same of fewer clean words
+            longer = [x for x in frequent if x.startswith(e) and not x.endswith("$") and frequent[x] >= 0.98 * frequent[e]]
+            chosen[max(longer, key=lambda x: (len(x), frequent[x], x), default=e)] = float(np.log(ratio))
     return chosen
 
 
