@@ -169,3 +169,18 @@ def test_pipeline_stage_by_stage(spark, sf_dir="/root/testdata/sf0.001"):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
     assert pieces.where("start = 0").count() == docs.count()
+
+
+def test_stages_take_edge_rows_and_extra_columns(spark, docs, edge_rows, sf_dir="/root/testdata/sf0.001"):
+    names = ["score", "fp", "component_id", "spans", "tokens", "epoch", "label", "row", "n"]
+    frame = docs([(*r[:2], None, None, *range(len(names))) for r in edge_rows], "".join(f", {n} int" for n in names))
+    for table in (frame, frame.limit(0)):
+        now = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = corpus_pipeline.materialize(stage(spark, now, sf_dir), name)
+            assert now.columns == table.columns, name
+        pieces = corpus_pipeline.STAGES[-1][1](spark, now, sf_dir).count()
+        assert (pieces > 0) == (table is frame)
+    kept = corpus_pipeline.keep_one_copy(spark, frame, sf_dir).collect()
+    # null, empty and blank texts share fingerprint 0, and so do both rows of id 3
+    assert sorted((r.doc_id for r in kept), key=str) == [1, 3, 5, 6, None]
