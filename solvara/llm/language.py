@@ -42,9 +42,10 @@ def train_dictionaries(documents: DataFrame, docs_per_language: int = DOCS_PER_L
     """
     known = (documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("l"))
              .where(learnable(F.col("id")) & F.col("l").isNotNull()))
-    common = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(languages).select("l")
+    common = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(languages)
+    rank = {r["l"]: i for i, r in enumerate(common.collect())}
     order = Window.partitionBy("l").orderBy(F.xxhash64("id"), "id")
-    chosen = (known.join(F.broadcast(common), "l").withColumn("r", F.row_number().over(order))
+    chosen = (known.where(F.col("l").isin(list(rank))).withColumn("r", F.row_number().over(order))
               .where(F.col("r") <= docs_per_language).select("id", "l", "r"))
     slice_of = F.substr(F.col("text"), F.lit(1), F.lit(dictionary_bytes))  # a dictionary holds no more than this
     texts = (documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("l"), slice_of.alias("text"))
@@ -58,7 +59,7 @@ def train_dictionaries(documents: DataFrame, docs_per_language: int = DOCS_PER_L
     for lang, bodies in parts.items():
         share = 2 * dictionary_bytes // max(1, len(bodies))  # many short pieces rather than one long text
         out[lang] = b"\n".join(b[:share] for b in bodies)[:dictionary_bytes]
-    return dict(sorted((lang, d) for lang, d in out.items() if len(d) >= 8))
+    return {lang: out[lang] for lang in sorted(out, key=rank.get) if len(out[lang]) >= 8}  # ties go to the commonest
 
 
 class Classifier:
@@ -85,7 +86,7 @@ class Classifier:
         body = letters(text)
         blocks = [body[i:i + BLOCK_BYTES] for i in range(0, len(body), BLOCK_BYTES)]
         sizes = np.array([sum(len(c.compress(b)) for b in blocks) for c in self.compressors], dtype="f8")
-        best = int(sizes.argmin())  # ties: the first language in order
+        best = int(sizes.argmin())  # ties: the first language, which is the commonest
         if len(sizes) == 1:
             return self.languages[best], 1.0, True
         margin = float((np.partition(sizes, 1)[1] - sizes[best]) / max(1, len(body)))
