@@ -37,10 +37,13 @@ REPORTING = ("said says say called calls wrote claimed quoted quote reported dit
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
 KINDS = ["plain", "targeted", "negated", "reported", "threat"]
 NEGATION_REACH = 3
-#: An entry must occur in this share of the positive rows (in different texts) and this much more often than elsewhere.
-LEAST_SHARE, LEAST_TEXTS, LEAST_RATIO = 0.02, 3, 30.0
+#: An entry must occur in this share of the positive rows (in different texts), and per word this much more often
+#: in them than elsewhere.
+LEAST_SHARE, LEAST_TEXTS, LEAST_RATIO = 0.02, 3, 10.0
 PREFIXES = (4, 5, 6)
 PREDICT_FROM = 0.3
+SUM_CAP = 20.0
+N_FEATURES = 2 * len(KINDS) + 1
 _WORD = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[^.!?;:\n]+")
 
@@ -102,29 +105,46 @@ class Grammar:
             yield ("targeted" if target else "plain"), weight
 
     def features(self, text: str | None) -> list[float]:
-        """Summed weights per kind (log scale), then whether the kind occurs."""
+        """Per kind: the matches' summed weight on a log scale and up to SUM_CAP; then all weight per 100 words.
+
+        Words that toxic texts only use more often than others have small weights: one of them says little.
+        """
         sums = dict.fromkeys(KINDS, 0.0)
         low = (text or "").lower()
+        words = 1
         if low and self.trigger.search(low):
+            words = len(low.split()) + 1
             for c in _CLAUSE.finditer(low):
                 if self.trigger.search(low, c.start(), c.end()):
                     for kind, weight in self.clause(_WORD.findall(low, c.start(), c.end())):
                         sums[kind] += weight
-        return [float(np.log1p(sums[k])) for k in KINDS] + [float(sums[k] > 0) for k in KINDS]
+        total = sum(sums.values())
+        return ([float(np.log1p(sums[k])) for k in KINDS] + [min(sums[k], SUM_CAP) / SUM_CAP for k in KINDS]
+                + [min(100.0 * total / max(words, 20), SUM_CAP) / SUM_CAP])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(x @ self.weights + self.bias, -40, 40)))
 
 
-def _entries_of(text: str | None) -> tuple[set[str], int]:
-    """A text's candidate entries and a key that near copies mostly share (from its four smallest word hashes)."""
-    words = set(_WORD.findall((text or "").lower()))
-    found = {w + "$" for w in words if len(w) >= 3} | {w[:k] for w in words for k in PREFIXES if len(w) >= k}
-    return found, zlib.crc32(repr(sorted(zlib.crc32(w.encode()) for w in words)[:4]).encode())
+def _entries_of(text: str | None) -> tuple[Counter, int, int]:
+    """A text's candidate entries with counts, its words, and a key that near copies mostly share.
+
+    The key comes from the four smallest word hashes.
+    """
+    words = Counter(_WORD.findall((text or "").lower()))
+    found: Counter = Counter()
+    for w, n in words.items():
+        if len(w) >= 3:
+            found[w + "$"] += n
+        for k in PREFIXES:
+            if len(w) >= k:
+                found[w[:k]] += n
+    key = zlib.crc32(repr(sorted(zlib.crc32(w.encode()) for w in words)[:4]).encode())
+    return found, sum(words.values()), key
 
 
 def _learn_entries(sample: DataFrame) -> dict[str, float]:
-    """Entries far commoner in positive rows; copies of a text count once, so that they cannot vote together."""
+    """Entries used far more often in positive rows; copies of a text count once, so that they cannot vote together."""
     n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n_pos, n_neg = n.get(1, 0), n.get(0, 0)
     if not n_pos or not n_neg:
@@ -132,29 +152,38 @@ def _learn_entries(sample: DataFrame) -> dict[str, float]:
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(e, key) for t in b.column(0).to_pylist() for found, key in [_entries_of(t)] for e in found]
-            yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in rows], type=pa.string()),
-                                              pa.array([k for _, k in rows], type=pa.int64())], names=["entry", "key"])
+            rows = []
+            for t in b.column(0).to_pylist():
+                found, words, key = _entries_of(t)
+                rows += [(e, key, n) for e, n in found.items()] + [("", key, words)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.string()), pa.array([r[1] for r in rows], type=pa.int64()),
+                                              pa.array([r[2] for r in rows], type=pa.int64())], names=["entry", "key", "n"])
 
-    positive = sample.where("label = 1").select("text").mapInArrow(spell, "entry string, key long")
+    positive = (sample.where("label = 1").select("text").mapInArrow(spell, "entry string, key long, n long")
+                .groupBy("entry", "key").agg(F.max("n").alias("n")))
     least = max(LEAST_TEXTS, int(LEAST_SHARE * n_pos))
-    frequent = {r["entry"]: r["n"] for r in positive.groupBy("entry").agg(F.countDistinct("key").alias("n"))
-                .where(F.col("n") >= least).collect()}  # at most (entries of the bounded sample) / least
+    frequent = {r["entry"]: r["n"] for r in positive.groupBy("entry").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
+                .where((F.col("texts") >= least) | (F.col("entry") == "")).collect()}  # entries of a bounded sample / least
+    words_pos = frequent.pop("", 0)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                seen.update(e for e in _entries_of(t)[0] if e in frequent)
+                found, words, _ = _entries_of(t)
+                seen[""] += words
+                for e in found.keys() & frequent.keys():
+                    seen[e] += found[e]
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), type=pa.string()), pa.array(list(seen.values()), type=pa.int64())],
                                          names=["entry", "n"])
 
     other = {r["entry"]: r["n"] for r in sample.where("label = 0").select("text").mapInArrow(tally, "entry string, n long")
              .groupBy("entry").agg(F.sum("n").alias("n")).collect()}
+    words_neg = other.pop("", 0)
     chosen: dict[str, float] = {}
     covered: set[str] = set()
     for e in sorted(frequent, key=lambda e: (e.endswith("$"), len(e), e)):
-        ratio = (frequent[e] + 0.5) / (n_pos + 1) / ((other.get(e, 0) + 0.5) / (n_neg + 1))
+        ratio = (frequent[e] + 0.5) / (words_pos + 1) / ((other.get(e, 0) + 0.5) / (words_neg + 1))
         if ratio >= LEAST_RATIO and not any(e[:k] in covered for k in PREFIXES if k <= len(e.rstrip("$"))):
             covered.add(e)
             # a longer beginning that is nearly as frequent says the same of fewer clean words
@@ -177,7 +206,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Gram
     """Grammar fitted on at most ``rows`` labelled, learnable documents (a documented bound)."""
     python_tasks(documents.sparkSession)
     sample = materialize(fit_sample(documents, labels, "toxic", rows), "toxic-sample")
-    raw = Grammar(_learn_entries(sample), np.zeros(2 * len(KINDS)), 0.0)
+    raw = Grammar(_learn_entries(sample), np.zeros(N_FEATURES), 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,7 +230,7 @@ def score_toxicity(documents: DataFrame, grammar: Grammar) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([grammar.features(t) for t in b.column(1).to_pylist()]).reshape(-1, 2 * len(KINDS))
+            x = np.array([grammar.features(t) for t in b.column(1).to_pylist()]).reshape(-1, N_FEATURES)
             p = grammar.score(x)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= PREDICT_FROM).astype("i4"))],
                                              names=["doc_id", "score", "predicted"])
@@ -217,7 +246,7 @@ def drop_toxic(documents: DataFrame, grammar: Grammar) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def clean(text: pd.Series) -> pd.Series:
-        x = np.array([grammar.features(t) for t in text]).reshape(-1, 2 * len(KINDS))
+        x = np.array([grammar.features(t) for t in text]).reshape(-1, N_FEATURES)
         return pd.Series(grammar.score(x) < PREDICT_FROM)
 
     return documents.where(clean(F.col("text")))

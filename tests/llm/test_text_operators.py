@@ -225,7 +225,7 @@ def test_toxicity_learns_and_keeps_clean(spark, docs, edge_rows):
 
 
 def test_clause_machine():
-    g = toxicity.Grammar({"idio": 2.0, "scum$": 1.0}, np.ones(10), 0.0)
+    g = toxicity.Grammar({"idio": 2.0, "scum$": 1.0}, np.ones(toxicity.N_FEATURES), 0.0)
     kinds = lambda s: [k for c in s.split(".") for k, _ in g.clause(c.split())]
     assert kinds("you are an idiot") == ["targeted"]
     assert kinds("what scum") == ["plain"]
