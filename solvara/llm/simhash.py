@@ -155,10 +155,10 @@ def keep_one_per_group(documents: DataFrame, width: int = SHINGLE_WORDS, radius:
     a repeated row leaves one row.
     """
     columns = [F.col(f"`{c}`") for c in documents.columns]
-    rows = documents.withColumn("__row", F.xxhash64(*columns))
+    # the hash covers the id, so a null id and 0 stay apart; plain keys let the join and the last step share one shuffle
+    rows = documents.withColumns({"__row": F.xxhash64(*columns), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))})
     members = near_duplicates(rows, width, radius, ("doc_id", "__row"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")).alias("best")
-    kept = members.groupBy("group_fp").agg(best).select(F.col("best.doc_id").alias("__kept_id"),
-                                                        F.col("best.__row").alias("__kept_row"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")) & (F.col("__row") == F.col("__kept_row"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__row"]).select(*columns)
+    kept = members.groupBy("group_fp").agg(best).select(
+        F.coalesce("best.doc_id", F.lit(0)).alias("__id"), F.col("best.__row").alias("__row"))
+    return rows.join(kept, ["__id", "__row"], "left_semi").dropDuplicates(["__id", "__row"]).select(*columns)
