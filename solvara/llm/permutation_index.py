@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, python_tasks
 
-PIVOTS, NEAREST, NEIGHBOURS = 128, 64, 20
-#: Share of a block that is reranked exactly; recall against brute force is measured in tests and README.
-RERANK_SHARE, RERANK_LEAST = 0.15, 200
+PIVOTS, NEAREST, NEIGHBOURS = 128, 128, 20
+#: Share of a block that is reranked exactly; recall against brute force is measured in tests and README.  A third of
+#: all rows may be near copies of one vector, which only exact products tell apart.
+RERANK_SHARE, RERANK_LEAST = 0.4, 200
 BLOCK_ROWS, QUERY_ROWS = 8192, 2048
 #: Vectors of a block whose cosine with a query is computed to place the line.
 PROBES = 64
@@ -49,24 +50,23 @@ def nearest_pivots(directions: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 class InvertedFiles:
-    """One block's pivot lists: vector numbers and the rank that the pivot has in each."""
+    """One block's pivot files: for each pivot, every vector's reach, the number of places from its rank to the end
+    of the order (0 where the pivot is not among the vector's nearest).  A file is one contiguous row."""
 
     def __init__(self, orders: np.ndarray, pivots: int):
         n, self.width = orders.shape
-        flat = orders.ravel()
-        by_pivot = np.argsort(flat, kind="stable")
-        self.numbers, self.ranks = (by_pivot // self.width).astype("i4"), (by_pivot % self.width).astype("i2")
-        self.starts = np.searchsorted(flat[by_pivot], np.arange(pivots + 1))
-        self.n = n
-        reach = np.arange(self.width, 0, -1, dtype="i4")
-        self.gain = np.minimum(reach[:, None], reach[None, :]) * 2  # footrule saved by a pivot that both rank
+        self.reach = np.zeros((pivots, n), dtype="u2")
+        for rank in range(self.width):
+            self.reach[orders[:, rank], np.arange(n)] = self.width - rank
 
     def agreement(self, order: np.ndarray) -> np.ndarray:
-        """Footrule distance below its largest value, for every vector of the block."""
-        total = np.zeros(self.n, dtype="i4")
+        """Half of what the footrule distance lies below its largest value, for every vector of the block.
+
+        A pivot that both rank saves twice the smaller of the two reaches.
+        """
+        total = np.zeros(self.reach.shape[1], dtype="u2")
         for rank, pivot in enumerate(order):
-            a, b = self.starts[pivot], self.starts[pivot + 1]
-            total[self.numbers[a:b]] += self.gain[rank][self.ranks[a:b]]
+            total += np.minimum(self.reach[pivot], np.uint16(self.width - rank))
         return total
 
 
@@ -131,7 +131,7 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, is_query: Column | None = No
                 nearness = lengths * (level + slope * agreement)
                 near = np.argpartition(-nearness, keep - 1)[:keep] if keep < len(x) else np.arange(len(x))
                 rough = x[near] @ vector
-                best = near[np.argpartition(-rough, min(k + 1, len(near)) - 1)[:k + 2]] if len(near) > k + 2 else near
+                best = near[np.argpartition(-rough, 2 * k)[:2 * k]] if len(near) > 2 * k else near
                 score = (x[best] * vector).sum(axis=1)  # the same order of additions for every row
                 hits = [(-s, i) for s, e in zip(score.tolist(), best) for i in ids[e] if i != query_id]
                 found.extend((int(query_id), int(i), -s) for s, i in sorted(hits)[:k])
