@@ -289,6 +289,21 @@ def test_pii_query_and_redaction(docs, edge_rows):
     assert pii.find_pii(docs([]), pii.train(docs([]))).count() == 0
 
 
+@pytest.mark.parametrize("form", ["jane.roe (at) example.com", "jane.roe [AT] example [DOT] com", "Jane.Roe At mail Dot example Dot com"])
+def test_written_email_alone_in_a_text(docs, form):
+    model = pii.train(docs(_pii_rows()))
+    text = f"please write to {form} today"
+    whole = ("email", text.index(form), text.index(form) + len(form))
+    assert whole in pii.candidates(text)
+    assert whole in model.spans(text)[1]
+    assert pii.redact_text(text, model.spans(text)[1]) == "please write to [EMAIL] today"
+
+
+def test_written_at_with_a_dot_is_proposed():
+    text = "please write to jane at example.com today"
+    assert ("email", 16, 35) in pii.candidates(text)
+
+
 LANGS = {"aa": ["kato", "miru", "sane", "toki"], "bb": ["grumpf", "schlatz", "wurtz", "brack"], "cc": ["eaux", "oise", "ille", "ment"]}
 
 
