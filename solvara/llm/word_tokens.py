@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
+from functools import lru_cache
 
 import numpy as np
 
@@ -23,6 +25,13 @@ def tokenizer(path: str) -> "WordTokenizer":
     return _LOADED[path]
 
 
+@lru_cache(maxsize=1 << 12)
+def _stays_letter(last: str) -> bool:
+    """Whether NFC and lower-casing leave one letter: a combining mark at the end would join a following '.' or ','."""
+    plain = unicodedata.normalize("NFC", last).lower()
+    return len(plain) == 1 and plain.isalpha()
+
+
 class WordTokenizer:
     """Encodes UTF-8 texts to little-endian unsigned 16-bit ids; equals the library's encoding of each whole text."""
 
@@ -44,11 +53,12 @@ class WordTokenizer:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
     def _learn(self, chunks: set[bytes]) -> None:
-        """Adds the chunks' ids to the cache: words of letters in one call, with a final mark if any; the rest singly."""
+        """Adds the chunks' ids to the cache: words of letters in one call, with a final mark if any; the rest whole."""
         words, marked, other = set(), [], []
         for c in chunks:
             word = c[:-1] if c[-1:] in self.marks else c
-            if word and (word.isalpha() or word.decode("utf-8", "replace").isalpha()):
+            text = "" if word.isalpha() else word.decode("utf-8", "replace")  # bytes.isalpha: ASCII letters only
+            if word.isalpha() or text.isalpha() and (word is c or _stays_letter(text[-1])):
                 if word not in self.cache:
                     words.add(word)
                 if word is not c:

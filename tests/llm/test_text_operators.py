@@ -31,6 +31,7 @@ def test_word_tokenizer_equals_the_library(seed):
     alphabet = "abcXYZ éÉßñ .,!?'’-_@#1234́ \x85\x1c\tİΣσς漢字한국어🙂ﬁ½ſÅ"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(300)]
     texts += ["it's don't I'LL WORD, word. éa, <|endoftext|>x <|ENDOFTEXT|>", "", None]
+    texts += ["EV\u0130. EV\u0130, EV\u0130", "\u09ac\u09df. \u09ac\u09df, \u0915\u095c, \u05d0\ufb2a."]
     fast = WordTokenizer(VOCAB, cache_chunks=50)
     library = Tokenizer.from_file(VOCAB)
     for at in range(0, len(texts), 40):
