@@ -18,7 +18,8 @@ from .common import held_out, learnable, python_tasks
 
 DICTIONARY_BYTES = 32 << 10
 DOCS_PER_LANGUAGE = 120
-MAX_LANGUAGES = 64
+#: Every worker holds all dictionaries; this bound on their total is checked, no language is dropped for it.
+MAX_DICTIONARIES_BYTES = 64 << 20
 BLOCK_BYTES = 2 << 10
 LEVEL = 5
 MIN_MARGIN = 0.005
@@ -34,31 +35,39 @@ def letters(text: str) -> bytes:
 
 
 def train_dictionaries(documents: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE,
-                       dictionary_bytes: int = DICTIONARY_BYTES, languages: int = MAX_LANGUAGES) -> dict[str, bytes]:
-    """Raw dictionary per language, from a hash-chosen, bounded sample of learnable documents.
+                       dictionary_bytes: int = DICTIONARY_BYTES, total_bytes: int = MAX_DICTIONARIES_BYTES) -> dict[str, bytes]:
+    """Raw dictionary of every language that has learnable text, from a hash-chosen, bounded sample of its documents.
 
-    At most ``languages`` (the commonest) x ``docs_per_language`` texts come to the driver, each reduced to
-    ``dictionary_bytes`` there; copies count once.
+    At most ``docs_per_language`` texts of a language are used, copies count once, and twice ``dictionary_bytes`` of
+    them come to the driver.  More languages than ``total_bytes`` holds dictionaries of are an error.
     """
+    python_tasks(documents.sparkSession)
     known = (documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("l"))
              .where(learnable(F.col("id")) & F.col("l").isNotNull()))
-    common = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(languages)
-    rank = {r["l"]: i for i, r in enumerate(common.collect())}
+    most = total_bytes // dictionary_bytes
+    counts = known.groupBy("l").count().limit(most + 1).collect()
+    if len(counts) > most:
+        raise ValueError(f"the table has more than {most} languages, whose dictionaries exceed {total_bytes} bytes")
+    rank = {r["l"]: i for i, r in enumerate(sorted(counts, key=lambda r: (-r["count"], r["l"])))}
     order = Window.partitionBy("l").orderBy(F.xxhash64("id"), "id")
-    chosen = (known.where(F.col("l").isin(list(rank))).withColumn("r", F.row_number().over(order))
-              .where(F.col("r") <= docs_per_language).select("id", "l", "r"))
+    chosen = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= docs_per_language).select("id", "l", "r")
     slice_of = F.substr(F.col("text"), F.lit(1), F.lit(dictionary_bytes))  # a dictionary holds no more than this
     texts = (documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("l"), slice_of.alias("text"))
-             .join(F.broadcast(chosen), ["id", "l"]))
+             .join(F.broadcast(chosen), ["id", "l"]).select("l", "r", "text"))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(lang, r, letters(t)) for lang, r, t in zip(*(c.to_pylist() for c in b.columns)) if t and any(map(str.isalpha, t))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], type=pa.string()), pa.array([x[1] for x in rows], type=pa.int32()),
+                                              pa.array([x[2] for x in rows], type=pa.binary())], names=["l", "r", "body"])
+
+    bodies = texts.mapInArrow(spell, "l string, r int, body binary").groupBy("l", "body").agg(F.min("r").alias("r"))
+    # many short pieces rather than one long text
+    share = F.floor(F.lit(2 * dictionary_bytes) / F.count(F.lit(1)).over(Window.partitionBy("l"))).cast("int")
     parts: dict[str, list[bytes]] = {}
-    for row in sorted(texts.collect(), key=lambda r: (r["l"], r["r"], r["text"] or "")):
-        body = letters(row["text"] or "")
-        if any(map(str.isalpha, row["text"] or "")) and body not in parts.setdefault(row["l"], []):
-            parts[row["l"]].append(body)
-    out = {}
-    for lang, bodies in parts.items():
-        share = 2 * dictionary_bytes // max(1, len(bodies))  # many short pieces rather than one long text
-        out[lang] = b"\n".join(b[:share] for b in bodies)[:dictionary_bytes]
+    for row in sorted(bodies.select("l", "r", F.substr("body", F.lit(1), share).alias("piece")).collect()):
+        parts.setdefault(row["l"], []).append(bytes(row["piece"]))
+    out = {lang: b"\n".join(pieces)[:dictionary_bytes] for lang, pieces in parts.items()}
     return {lang: out[lang] for lang in sorted(out, key=rank.get) if len(out[lang]) >= 8}  # ties go to the commonest
 
 

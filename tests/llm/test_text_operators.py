@@ -323,6 +323,20 @@ def test_language(docs, edge_rows):
     assert language.identify_language(docs([(1, "abc")]), language.train_dictionaries(docs([]))).first().lang_pred == "und"
 
 
+def test_every_language_has_a_dictionary(docs):
+    rng = random.Random(9)
+    parts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(280)]
+    rows = [(100 * n + i, " ".join(rng.choice(parts[4 * n:4 * n + 4]) for _ in range(40)), f"l{n:02}")
+            for n in range(70) for i in range(12 if n < 69 else 6)]
+    frame = docs(rows)
+    dictionaries = language.train_dictionaries(frame)
+    assert sorted(dictionaries) == [f"l{n:02}" for n in range(70)] and list(dictionaries)[-1] == "l69"
+    judge = language.Classifier(dictionaries)
+    assert all(judge.classify(t)[0] == lang for _, t, lang in rows)
+    with pytest.raises(ValueError, match="languages"):
+        language.train_dictionaries(frame, total_bytes=69 * language.DICTIONARY_BYTES)
+
+
 def test_token_counts(docs, edge_rows):
     rows = edge_rows + [(100 + i, "the quick brown fox " * (i % 9)) for i in range(40)]
     got = token_counts.count_document_tokens(docs(rows).repartition(3), VOCAB).collect()
