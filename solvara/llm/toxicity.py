@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -37,9 +39,9 @@ REPORTING = ("said says say called calls wrote claimed quoted quote reported dit
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
 KINDS = ["plain", "targeted", "negated", "reported", "threat"]
 NEGATION_REACH = 3
-#: An entry must occur in this share of the positive rows (in different texts), and per word this much more often
-#: in them than elsewhere.
-LEAST_SHARE, LEAST_TEXTS, LEAST_RATIO = 0.02, 3, 10.0
+#: An entry must occur in so many different positive texts, and per word this much more often in them than elsewhere;
+#: of all entries tested, so many may pass by chance alone (expected number).
+LEAST_TEXTS, LEAST_RATIO, BY_CHANCE = 3, 10.0, 0.5
 PREFIXES = (4, 5, 6)
 PREDICT_FROM = 0.3
 SUM_CAP = 20.0
@@ -143,51 +145,69 @@ def _entries_of(text: str | None) -> tuple[Counter, int, int]:
     return found, sum(words.values()), key
 
 
+def _chance(k: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
+    """Upper (Chernoff) bound of the chance that k or more of n fall on a side that has the share p."""
+    q = k / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        miss = np.where(q < 1, (1 - q) * np.log((1 - q) / (1 - p)), 0.0)
+    return np.where(q > p, np.exp(-n * (q * np.log(q / p) + miss)), 1.0)
+
+
 def _learn_entries(sample: DataFrame) -> dict[str, float]:
-    """Entries used far more often in positive rows; copies of a text count once, so that they cannot vote together."""
+    """Entries used far more often in positive rows; copies of a text count once, so that they cannot vote together.
+
+    Of positive rows near copies count once too.  Their key also joins different texts of few words, which for the
+    more numerous other rows would hide how much clean text lacks an entry.
+    """
     n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n_pos, n_neg = n.get(1, 0), n.get(0, 0)
     if not n_pos or not n_neg:
         return {}
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for t in b.column(0).to_pylist():
-                found, words, key = _entries_of(t)
-                rows += [(e, key, n) for e, n in found.items()] + [("", key, words)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.string()), pa.array([r[1] for r in rows], type=pa.int64()),
-                                              pa.array([r[2] for r in rows], type=pa.int64())], names=["entry", "key", "n"])
-
-    positive = (sample.where("label = 1").select("text").mapInArrow(spell, "entry string, key long, n long")
-                .groupBy("entry", "key").agg(F.max("n").alias("n")))
-    least = max(LEAST_TEXTS, int(LEAST_SHARE * n_pos))
-    frequent = {r["entry"]: r["n"] for r in positive.groupBy("entry").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
-                .where((F.col("texts") >= least) | (F.col("entry") == "")).collect()}  # entries of a bounded sample / least
-    words_pos = frequent.pop("", 0)
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                found, words, _ = _entries_of(t)
-                seen[""] += words
-                for e in found.keys() & frequent.keys():
-                    seen[e] += found[e]
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), type=pa.string()), pa.array(list(seen.values()), type=pa.int64())],
-                                         names=["entry", "n"])
-
-    other = {r["entry"]: r["n"] for r in sample.where("label = 0").select("text").mapInArrow(tally, "entry string, n long")
-             .groupBy("entry").agg(F.sum("n").alias("n")).collect()}
-    words_neg = other.pop("", 0)
+    def spell(only: set[str] | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = []
+                for t in b.column(0).to_pylist():
+                    found, words, key = _entries_of(t)
+                    key = key if only is None else zlib.crc32((t or "").lower().encode("utf-8", "replace"))
+                    rows += [(e, key, found[e]) for e in (found.keys() if only is None else found.keys() & only)] + [("", key, words)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], type=pa.string()), pa.array([r[1] for r in rows], type=pa.int64()),
+                                                  pa.array([r[2] for r in rows], type=pa.int64())], names=["entry", "key", "n"])
+
+        return run
+
+    def counted(label: int, only: set[str] | None) -> DataFrame:
+        return (sample.where(F.col("label") == label).select("text").mapInArrow(spell(only), "entry string, key long, n long")
+                .groupBy("entry", "key").agg(F.max("n").alias("n"))
+                .groupBy("entry").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n")))
+
+    positive = {r["entry"]: (r["n"], r["texts"])  # entries of a bounded sample
+                for r in counted(1, None).where((F.col("texts") >= LEAST_TEXTS) | (F.col("entry") == "")).collect()}
+    words_pos, _ = positive.pop("", (0, 0))
+    other = {r["entry"]: (r["n"], r["texts"]) for r in counted(0, set(positive)).collect()}
+    words_neg, _ = other.pop("", (0, 0))
+    if not positive or not words_neg:
+        return {}
+    frequent = {e: n for e, (n, _) in positive.items()}
+    k = np.array([t for _, t in positive.values()], dtype="f8")
+    both = k + np.array([other.get(e, (0, 0))[1] for e in positive], dtype="f8")
+    chance = dict(zip(positive, _chance(k, both, words_pos / (words_pos + words_neg))))
+    starts = sorted(e for e in frequent if not e.endswith("$"))
     chosen: dict[str, float] = {}
     covered: set[str] = set()
     for e in sorted(frequent, key=lambda e: (e.endswith("$"), len(e), e)):
-        ratio = (frequent[e] + 0.5) / (words_pos + 1) / ((other.get(e, 0) + 0.5) / (words_neg + 1))
-        if ratio >= LEAST_RATIO and not any(e[:k] in covered for k in PREFIXES if k <= len(e.rstrip("$"))):
+        ratio = (frequent[e] + 0.5) / (words_pos + 1) / ((other.get(e, (0, 0))[0] + 0.5) / (words_neg + 1))
+        if (ratio >= LEAST_RATIO and chance[e] * len(chance) <= BY_CHANCE
+                and not any(e[:k] in covered for k in PREFIXES if k <= len(e.rstrip("$")))):
             covered.add(e)
             # a longer beginning that is nearly as frequent says the same of fewer clean words
-            longer = [x for x in frequent if x.startswith(e) and not x.endswith("$") and frequent[x] >= 0.98 * frequent[e]]
+            longer = []
+            for x in islice(starts, bisect_left(starts, e), None):
+                if not x.startswith(e):
+                    break
+                if frequent[x] >= 0.98 * frequent[e]:
+                    longer.append(x)
             chosen[max(longer, key=lambda x: (len(x), frequent[x], x), default=e)] = float(np.log(ratio))
     return chosen
 

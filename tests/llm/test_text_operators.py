@@ -225,6 +225,28 @@ def test_toxicity_learns_and_keeps_clean(spark, docs, edge_rows):
     assert toxicity.score_toxicity(docs([(1, "idiot")]), empty).first().predicted == 0
 
 
+def test_toxicity_learns_rare_insults_and_a_minority_language(spark, docs):
+    rng = random.Random(11)
+    spelt = lambda n: "".join(rng.choice("bcdfghjklmnpqrstvwz") for _ in range(n))
+    clean = {"en": [spelt(6) for _ in range(300)], "fr": [spelt(6) for _ in range(300)]}
+    insults = {"en": [spelt(7) for _ in range(100)], "fr": [spelt(7) for _ in range(3)]}
+    rows, toxic = [], []
+    for i in range(8000):
+        lang, bad = "fr" if i % 20 < 1 else "en", rng.random() < 0.25
+        words = [rng.choice(clean[lang]) for _ in range(30)]
+        if bad:
+            words[rng.randrange(30)] = rng.choice(insults[lang])
+        rows.append((i, " ".join(words), lang))
+        toxic.append(int(bad))
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    grammar = toxicity.train(docs(rows), labels)
+    predicted = [int(p >= toxicity.PREDICT_FROM) for p in grammar.score(np.array([grammar.features(t) for _, t, _ in rows]))]
+    held = [i for i in range(8000) if zlib.crc32(str(i).encode()) % 4 == 2]
+    for lang in ("en", "fr"):
+        assert np.mean([predicted[i] for i in held if toxic[i] and rows[i][2] == lang]) > 0.9
+    assert not any(predicted[i] for i in held if not toxic[i])
+
+
 def test_clause_machine():
     g = toxicity.Grammar({"idio": 2.0, "scum$": 1.0}, np.ones(toxicity.N_FEATURES), 0.0)
     kinds = lambda s: [k for c in s.split(".") for k, _ in g.clause(c.split())]
