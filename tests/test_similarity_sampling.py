@@ -78,7 +78,7 @@ def test_medoid_outlier(spark):
 
 
 def test_global_rank_equals_row_number_and_has_no_window(spark):
-    from conftest import plan_text
+    from checks import plan_text
     rnd = random.Random(3)
     rows = [(i, float(rnd.randint(0, 20))) for i in range(500)]
     rnd.shuffle(rows)
