@@ -2,6 +2,7 @@
 
 Each scaler is fitted with ONE aggregate over the rows (one number per column, map-side partials),
 brought back as a single row and applied as a projection with literals -- no join, no second shuffle.
+NaN counts as missing everywhere, like NULL.
 """
 
 from __future__ import annotations
@@ -9,11 +10,19 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Pairs per aggregate: the correlation of more columns takes several passes of this many pairs.
-_PAIRS_PER_PASS = 400
+from solvara.session import ship_package
+
+#: Columns per block of the co-moment matrices, and groups in which the blocks of all tasks are first added up.
+_BLOCK, _GROUPS = 64, 64
+#: A variance below this share of the mean square is rounding, not variation.
+_ROUNDING = 1e-13
 
 
 def _fit_rows(df: DataFrame, fit_on: str | Column | None) -> DataFrame:
@@ -22,42 +31,75 @@ def _fit_rows(df: DataFrame, fit_on: str | Column | None) -> DataFrame:
     return df.where(F.expr(fit_on) if isinstance(fit_on, str) else fit_on)
 
 
+def present(c: str | Column) -> Column:
+    """The value as a double; NaN counts as missing, like NULL."""
+    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def co_moments(df: DataFrame, cols) -> dict[str, np.ndarray]:
+    """Per pair of columns, over the rows where both are present: counts ``n``, sums ``s`` (of the row's column) and ``q`` of
+    squares, and sums of products ``p``, of the values less one value of the column (matrices of columns x columns).
+
+    One pass for any width: every task adds up its rows in blocks of 64 x 64 column pairs with four matrix products and
+    writes each block once; the blocks of all tasks are added up by Spark in two steps.  What reaches the driver is
+    bounded by the columns.
+    """
+    ship_package(df.sparkSession)
+    cols, k = list(cols), len(list(cols))
+    x = [present(c) for c in cols]
+    few = df.select(*[v.alias(f"c{i}") for i, v in enumerate(x)]).limit(100)  # any value near the data will do
+    start = few.agg(*[F.first(f"c{i}", ignorenulls=True) for i in range(k)]).first()
+    shift = np.array([0.0 if v is None or not math.isfinite(v) else v for v in start], dtype="f8")
+    bounds = [(i, min(i + _BLOCK, k)) for i in range(0, k, _BLOCK)]
+    pairs = [(i, j) for i in range(len(bounds)) for j in range(len(bounds))]
+
+    def run(batches):
+        total = {b: 0.0 for b in pairs}
+        for b in batches:
+            v = b.column(0).flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(-1, k) - shift
+            here = ~np.isnan(v)
+            v = np.where(here, v, 0.0)
+            here = here.astype("f8")
+            for i, j in pairs:
+                (a, z), (c, y) = bounds[i], bounds[j]
+                with np.errstate(invalid="ignore", over="ignore"):
+                    total[i, j] = total[i, j] + np.stack([here[:, a:z].T @ here[:, c:y], v[:, a:z].T @ here[:, c:y],
+                                                          (v[:, a:z] ** 2).T @ here[:, c:y], v[:, a:z].T @ v[:, c:y]])
+        done = [(at, t.ravel().tolist()) for at, t in enumerate(total.values()) if not np.isscalar(t)]
+        yield pa.RecordBatch.from_arrays([pa.array([at for at, _ in done], pa.int32()), pa.array([t for _, t in done], pa.list_(pa.float64()))],
+                                         names=["block", "sums"])
+
+    blocks = df.select(F.array(*x).alias("v")).mapInArrow(run, "block int, sums array<double>")
+    vectors = blocks.select("block", (F.spark_partition_id() % _GROUPS).alias("g"), array_to_vector("sums").alias("sums"))
+    part = vectors.groupBy("block", "g").agg(Summarizer.sum(F.col("sums")).alias("sums"))
+    found = part.groupBy("block").agg(Summarizer.sum(F.col("sums")).alias("sums")).collect()
+    out = {name: np.zeros((k, k)) for name in "nsqp"}
+    for r in found:
+        (a, z), (c, y) = (bounds[i] for i in pairs[r["block"]])
+        for name, m in zip("nsqp", r["sums"].toArray().reshape(4, z - a, y - c)):
+            out[name][a:z, c:y] = m
+    return out
+
+
 def corr_matrix(df: DataFrame, cols) -> dict[tuple[str, str], float | None]:
-    """Pearson r for every pair i < j of ``cols`` over the rows where both are present.
+    """Pearson r for every pair i < j of ``cols`` over the rows where both are present; NULL and NaN are missing.
 
-    None when a column is constant over those rows, or there are none.  One rule for any width, in passes of at
-    most ``_PAIRS_PER_PASS`` pairs (stable co-moments, merged per partition): the covariance of a pair already
-    covers just its common rows; deviations over those rows are computed per pair only where a column has
-    missing values, as elsewhere they equal the column's own.  The k x k result is bounded by the column count.
+    None when a column is constant over those rows, when it holds an infinite value there, or when there are no rows.
+    All pairs come from one pass over the rows (:func:`co_moments`).
     """
     cols = list(cols)
-    x = {c: F.col(c).cast("double") for c in cols}
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    cov: dict[tuple[str, str], float | None] = {}
-    n_rows, n_of, dev = 0, {}, {}
-    for at in range(0, max(1, len(pairs)), _PAIRS_PER_PASS):
-        part = pairs[at:at + _PAIRS_PER_PASS]
-        new = [c for c in dict.fromkeys(c for p in part for c in p) if c not in dev]
-        row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(new)],
-                     *[F.stddev_pop(x[c]).alias(f"s{i}") for i, c in enumerate(new)],
-                     *[F.covar_pop(x[a], x[b]).alias(f"c{i}") for i, (a, b) in enumerate(part)]).first()
-        n_rows = row["n"]
-        n_of.update({c: row[f"n{i}"] for i, c in enumerate(new)})
-        dev.update({c: row[f"s{i}"] for i, c in enumerate(new)})
-        cov.update({p: row[f"c{i}"] for i, p in enumerate(part)})
-    both = {p: (dev[p[0]], dev[p[1]]) for p in pairs}
-    partial = [p for p in pairs if n_of[p[0]] < n_rows or n_of[p[1]] < n_rows]
-    for at in range(0, len(partial), _PAIRS_PER_PASS):
-        part = partial[at:at + _PAIRS_PER_PASS]
-        row = df.agg(*[F.stddev_pop(F.when(x[b].isNotNull(), x[a])).alias(f"s{i}") for i, (a, b) in enumerate(part)],
-                     *[F.stddev_pop(F.when(x[a].isNotNull(), x[b])).alias(f"t{i}") for i, (a, b) in enumerate(part)]).first()
-        both.update({p: (row[f"s{i}"], row[f"t{i}"]) for i, p in enumerate(part)})
-    out: dict[tuple[str, str], float | None] = {}
-    for p in pairs:
-        c, (s, t) = cov[p], both[p]
-        r = None if c is None or not s or not t else c / (s * t)
-        out[p] = None if r is None or math.isnan(r) else r
-    return out
+    if len(cols) < 2:
+        return {}
+    m = co_moments(df, cols)
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        n = m["n"]
+        spread = m["q"] - m["s"] ** 2 / n      # of the row's column over the rows that both have
+        spread = np.where(spread > _ROUNDING * m["q"], spread, np.nan)
+        r = (m["p"] - m["s"] * m["s"].T / n) / np.sqrt(spread * spread.T)
+    r = np.clip(r, -1.0, 1.0)
+    return {(a, b): None if math.isnan(r[i, j]) else float(r[i, j])
+            for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j}
 
 
 def abs_corr(df: DataFrame, cols) -> DataFrame:
@@ -108,25 +150,25 @@ class ColumnScaler:
 
 
 def fit_standardizer(df: DataFrame, cols, fit_on=None) -> ColumnScaler:
-    """A4 fit: mean and population std per column; a zero (or undefined) std divides by 1."""
+    """A4 fit: mean and population std per column over its present values; a zero (or undefined) std divides by 1."""
     cols = list(cols)
-    row = _fit_rows(df, fit_on).agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-                                    *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    row = _fit_rows(df, fit_on).agg(*[F.avg(present(c)).alias(f"m{i}") for i, c in enumerate(cols)],
+                                    *[F.stddev_pop(present(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     center = {c: float(row[f"m{i}"] or 0.0) for i, c in enumerate(cols)}
     scale = {c: (float(row[f"s{i}"]) if row[f"s{i}"] else 1.0) for i, c in enumerate(cols)}
     return ColumnScaler(center, scale)
 
 
 def standardize(df: DataFrame, cols, fit_on=None) -> DataFrame:
-    """A4: (x - mean) / population std, in place."""
+    """A4: (x - mean) / population std, in place; a missing value (NULL or NaN) stays what it is."""
     return fit_standardizer(df, cols, fit_on).apply(df)
 
 
 def fit_block_scaler(df: DataFrame, cols, fit_on=None) -> ColumnScaler:
     """A5 fit: per-column mean; one shared divisor sqrt(sum of column population variances)."""
     cols = list(cols)
-    row = _fit_rows(df, fit_on).agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-                                    *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(cols)]).first()
+    row = _fit_rows(df, fit_on).agg(*[F.avg(present(c)).alias(f"m{i}") for i, c in enumerate(cols)],
+                                    *[F.var_pop(present(c)).alias(f"v{i}") for i, c in enumerate(cols)]).first()
     total = math.sqrt(sum(float(row[f"v{i}"] or 0.0) for i in range(len(cols))))
     div = total if total > 0 else 1.0
     return ColumnScaler({c: float(row[f"m{i}"] or 0.0) for i, c in enumerate(cols)}, {c: div for c in cols})
@@ -146,8 +188,8 @@ def preprocess(df: DataFrame, blocks=(), columns=(), fit_on=None) -> DataFrame:
     columns = list(columns)
     every = [c for b in blocks for c in b] + columns
     rows = _fit_rows(df, fit_on)
-    row = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in every],
-                   *[F.var_pop(c).alias(f"v_{c}") for c in every]).first()
+    row = rows.agg(*[F.avg(present(c)).alias(f"m_{c}") for c in every],
+                   *[F.var_pop(present(c)).alias(f"v_{c}") for c in every]).first()
     center = {c: float(row[f"m_{c}"] or 0.0) for c in every}
     scale = {}
     for b in blocks:
@@ -166,15 +208,15 @@ def fit_target_scaler(df: DataFrame, y: str, fit_on="split = 'Training'") -> Col
 
 
 def minmax_scale(df: DataFrame, cols, fit_on=None) -> DataFrame:
-    """(x - min) / (max - min); a constant column maps to 0."""
+    """(x - min) / (max - min) over the present values; a constant column maps to 0, a missing value stays."""
     cols = list(cols)
-    row = _fit_rows(df, fit_on).agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(cols)],
-                                    *[F.max(c).alias(f"hi{i}") for i, c in enumerate(cols)]).first()
+    row = _fit_rows(df, fit_on).agg(*[F.min(present(c)).alias(f"lo{i}") for i, c in enumerate(cols)],
+                                    *[F.max(present(c)).alias(f"hi{i}") for i, c in enumerate(cols)]).first()
     out = {}
     for i, c in enumerate(cols):
         lo, hi = row[f"lo{i}"], row[f"hi{i}"]
         if lo is None or hi is None or hi == lo:
-            out[c] = F.when(F.col(c).isNotNull(), F.lit(0.0))
+            out[c] = F.when(present(c).isNotNull(), F.lit(0.0)).otherwise(F.col(c).cast("double"))
         else:
             out[c] = (F.col(c) - F.lit(float(lo))) / F.lit(float(hi) - float(lo))
     return df.withColumns(out)

@@ -99,3 +99,96 @@ L13_SQL = ("SELECT t.l_orderkey, t.l_linenumber, " + ", ".join(
 def l13_minmax_scale(spark, sf_dir):
     d = ds.minmax_scale(fx.fx_desc(spark, sf_dir), COLS)
     return d.select("l_orderkey", "l_linenumber", *[F.round(c, 6).alias(c) for c in COLS])
+
+
+# ------------------------------------------------------------------ the same rules over frames with NULL and NaN
+WIDE = 300
+
+
+HOLED_SQL = ("(SELECT l_orderkey, l_linenumber, " + ", ".join(
+    f"CASE WHEN (l_orderkey + {i}) % 10 = 0 THEN NULL WHEN (l_orderkey + {i}) % 11 = 0 THEN CAST('NaN' AS DOUBLE) ELSE {c} END AS {c}"
+    for i, c in enumerate(COLS)) + f" FROM {DESC} d)")
+PRESENT_SQL = ("(SELECT l_orderkey, l_linenumber, " + ", ".join(f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END AS {c}" for c in COLS)
+               + f" FROM {HOLED_SQL} h)")
+
+
+def fx_holed(spark, sf_dir):
+    """FX-DESC with NULL and NaN in every column, of the same rows as ``HOLED_SQL``."""
+    d, k = fx.fx_desc(spark, sf_dir), F.col("l_orderkey")
+    return d.withColumns({c: F.when((k + i) % 10 == 0, F.lit(None).cast("double")).when((k + i) % 11 == 0, F.lit(float("nan"))).otherwise(F.col(c))
+                          for i, c in enumerate(COLS)})
+
+
+def _holed_pair_sql(a: str, b: str) -> str:
+    return (f"SELECT '{a}' AS col_i, '{b}' AS col_j, 0.0 + round(CASE WHEN stddev_pop({a}) = 0 OR stddev_pop({b}) = 0 THEN NULL "
+            f"ELSE abs(covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b}))) END, 6) AS r "
+            f"FROM {PRESENT_SQL} d WHERE {a} IS NOT NULL AND {b} IS NOT NULL")
+
+
+HOLED_PAIRS_SQL = " UNION ALL ".join(_holed_pair_sql(COLS[i], COLS[j]) for i in range(len(COLS)) for j in range(i + 1, len(COLS)))
+
+
+@register("a2_abs_corr_missing", HOLED_PAIRS_SQL)
+def a2_abs_corr_missing(spark, sf_dir):
+    """Pairwise-complete correlation: every pair over the rows that both columns have."""
+    return ds.abs_corr(fx_holed(spark, sf_dir), COLS).select("col_i", "col_j", F.round("r", 6).alias("r"))
+
+
+@register("a3_drop_correlated_missing", f"SELECT DISTINCT col_j AS dropped FROM ({HOLED_PAIRS_SQL}) p WHERE r IS NOT NULL AND r > 0.7")
+def a3_drop_correlated_missing(spark, sf_dir):
+    _, dropped = ds.drop_correlated(fx_holed(spark, sf_dir), COLS, 0.7)
+    return spark.createDataFrame([(c,) for c in dropped], "dropped string")
+
+
+def _holed(df):
+    """NaN as -99, NULL as it is, so that the comparison tells them apart."""
+    return df.select("l_orderkey", "l_linenumber", *[F.round(F.when(F.isnan(c), F.lit(-99.0)).otherwise(F.col(c)), 4).alias(c) for c in COLS])
+
+
+def _holed_sql(stats, value) -> str:
+    cols = ", ".join(f"0.0 + round(CASE WHEN t.{c} IS NULL THEN NULL WHEN isnan(t.{c}) THEN -99.0 ELSE {value(c)} END, 4) AS {c}" for c in COLS)
+    return f"SELECT t.l_orderkey, t.l_linenumber, {cols} FROM {HOLED_SQL} t, (SELECT {', '.join(stats(c) for c in COLS)} FROM {PRESENT_SQL} u) s"
+
+
+@register("a4_standardize_missing", _holed_sql(
+    lambda c: f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS d_{c}",
+    lambda c: f"(t.{c} - s.m_{c}) / s.d_{c}"))
+def a4_standardize_missing(spark, sf_dir):
+    """A4 over columns with NULL and NaN: both are left out of the statistics and stay in the rows."""
+    return _holed(ds.standardize(fx_holed(spark, sf_dir), COLS))
+
+
+@register("l13_minmax_scale_missing", _holed_sql(
+    lambda c: f"min({c}) AS lo_{c}, max({c}) AS hi_{c}",
+    lambda c: f"CASE WHEN s.hi_{c} = s.lo_{c} THEN 0.0 ELSE (t.{c} - s.lo_{c}) / (s.hi_{c} - s.lo_{c}) END"))
+def l13_minmax_scale_missing(spark, sf_dir):
+    return _holed(ds.minmax_scale(fx_holed(spark, sf_dir), COLS))
+
+
+@register("a6_preprocess_missing", _holed_sql(
+    lambda c: f"avg({c}) AS m_{c}, var_pop({c}) AS v_{c}",
+    lambda c: (f"(t.{c} - s.m_{c}) / sqrt(" + " + ".join(f"s.v_{x}" for x in COLS[:3]) + ")") if c in COLS[:3]
+    else f"(t.{c} - s.m_{c}) / CASE WHEN s.v_{c} = 0 THEN 1.0 ELSE sqrt(s.v_{c}) END"))
+def a6_preprocess_missing(spark, sf_dir):
+    """A5 over three columns and A4 over the others, with NULL and NaN."""
+    return _holed(ds.preprocess(fx_holed(spark, sf_dir), blocks=[COLS[:3]], columns=COLS[3:]))
+
+
+WIDE_SQL = (f"SELECT vec_id, k, CASE WHEN (vec_id + k) % 17 = 0 OR (vec_id + k) % 19 = 0 THEN NULL ELSE "
+            f"CAST(embedding[k % 64 + 1] AS DOUBLE) + CAST(embedding[(k * 7 + 3) % 64 + 1] AS DOUBLE) * (k % 5) END AS x "
+            f"FROM embeddings, range({WIDE}) r(k)")
+
+
+@register("a2_abs_corr_wide",
+          f"WITH long AS MATERIALIZED (SELECT * FROM ({WIDE_SQL}) w WHERE x IS NOT NULL) "
+          "SELECT CAST(a.k AS INTEGER) AS i, CAST(b.k AS INTEGER) AS j, 0.0 + round(abs(corr(a.x, b.x)), 5) AS r "
+          "FROM long a JOIN long b ON a.vec_id = b.vec_id AND a.k < b.k GROUP BY a.k, b.k")
+def a2_abs_corr_wide(spark, sf_dir):
+    """|r| of all pairs of 300 descriptors with NULL and NaN, from one pass over the rows."""
+    e, v = fx.table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    at = lambda i: F.element_at("embedding", i % 64 + 1).cast("double")
+    cols = {f"d{k}": F.when((v + k) % 17 == 0, F.lit(None).cast("double")).when((v + k) % 19 == 0, F.lit(float("nan")))
+            .otherwise(at(k) + at(k * 7 + 3) * float(k % 5)) for k in range(WIDE)}
+    pairs = ds.abs_corr(e.select("vec_id", *[c.alias(n) for n, c in cols.items()]), list(cols))
+    number = lambda c: F.substring(c, 2, 9).cast("int")
+    return pairs.select(number(F.col("col_i")).alias("i"), number(F.col("col_j")).alias("j"), F.round("r", 5).alias("r"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,6 +81,23 @@ def write_once(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the executors, once per application, for operators that run Python in their tasks."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = f"{tempfile.mkdtemp(prefix='solvara-package-')}/{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, str(f.relative_to(package.parent)))
+    sc.addPyFile(archive)  # goes to the driver's file server, from which executors fetch it
+    _SHIPPED.add(sc.applicationId)
+
+
 def scale_settings(input_bytes: int, target_partition_bytes: int = 256 << 20,
                    max_split_bytes: int = 256 << 20) -> dict:
     """Settings that keep shuffle and scan partitions near ``target_partition_bytes`` at a given scale.
