@@ -41,7 +41,7 @@ def encode_documents(documents: DataFrame, vocabulary: str, separator: int = SEP
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, inner = tokenizer(vocabulary), TaskContext.get().partitionId(), 0
         for b in batches:
-            ids = [x + closing for x in encoder.encode_batch(b.column(1).to_pylist())]
+            ids = [x + closing for x in encoder.encode_batch(b.column(1))]
             n = np.array([len(x) // 2 for x in ids], dtype="i8")
             starts = inner + np.cumsum(n) - n
             inner += int(n.sum())
