@@ -25,7 +25,10 @@ PIVOTS, NEAREST, NEIGHBOURS = 128, 128, 20
 #: Share of a block that is reranked exactly; recall against brute force is measured in tests and README.  A third of
 #: all rows may be near copies of one vector, which only exact products tell apart.
 RERANK_SHARE, RERANK_LEAST = 0.4, 200
-BLOCK_ROWS, QUERY_ROWS = 8192, 2048
+#: Rows of a block (the smaller number as long as there are few blocks) and queries that meet it at once.
+LEAST_BLOCK_ROWS, BLOCK_ROWS, MANY_BLOCKS, QUERY_ROWS = 8192, 65_536, 64, 32_768
+#: Share of the largest product by which two ways of adding it up may differ.
+ROUNDING = 1e-9
 #: Vectors of a block whose cosine with a query is computed to place the line.
 PROBES = 64
 QUERY_STEP = 20
@@ -78,14 +81,22 @@ def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return slope, float(y.mean() - slope * x.mean())
 
 
+def _largest(values: np.ndarray, k: int, slack: float) -> np.ndarray:
+    """Places of the k largest values and of all that tie with the last of them, within ``slack``."""
+    if len(values) <= k:
+        return np.arange(len(values))
+    return np.flatnonzero(values >= np.partition(values, len(values) - k)[len(values) - k] - slack)
+
+
 def search(vectors: DataFrame, k: int = NEIGHBOURS, is_query: Column | None = None, pivots: int = PIVOTS,
            id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k nearest found for each query row, all candidates if fewer.
 
     Queries are rows whose id is divisible by 20 unless ``is_query`` says otherwise.  Vectors that are null, zero or
     hold null or non-finite parts, rows with a null id, and vectors whose length is not the commonest one take no
-    part.  Repeated (id, vector) rows count once.  Index and queries meet in blocks of at most about BLOCK_ROWS x
-    QUERY_ROWS rows, dealt by Spark; no task sees more.
+    part.  Repeated (id, vector) rows count once; an empty table has no result.  Equal scores among those found go by the
+    smaller id, however many there are.  Index and queries meet in blocks of about BLOCK_ROWS x QUERY_ROWS rows, dealt
+    by Spark; no task sees more.
     """
     spark = vectors.sparkSession
     python_tasks(spark)
@@ -108,7 +119,8 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, is_query: Column | None = No
     sample = entries.orderBy("h", "v").limit(pivots).select("v").collect()  # a fixed number of pivots
     pivot_rows, _ = _directions(np.array([r["v"] for r in sample]))
     queries = good.where(is_query).distinct()
-    n_blocks, n_query_blocks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-queries.count() // QUERY_ROWS))
+    n_blocks = max(1, -(-n // BLOCK_ROWS), min(MANY_BLOCKS, -(-n // LEAST_BLOCK_ROWS)))
+    n_query_blocks = max(1, -(-queries.count() // QUERY_ROWS))
     left = (entries.withColumn("block", F.pmod("h", F.lit(n_blocks)))
             .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1)))))
     right = (queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(n_query_blocks)).cast("int"))
@@ -129,9 +141,10 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, is_query: Column | None = No
                 agreement = files.agreement(order).astype("f8")
                 slope, level = _line(agreement[probe], directions[probe] @ vector)
                 nearness = lengths * (level + slope * agreement)
-                near = np.argpartition(-nearness, keep - 1)[:keep] if keep < len(x) else np.arange(len(x))
+                near = _largest(nearness, keep, 0.0)
                 rough = x[near] @ vector
-                best = near[np.argpartition(-rough, 2 * k)[:2 * k]] if len(near) > 2 * k else near
+                # one vector may be the query's own; whatever ties with the last place goes on
+                best = near[_largest(rough, k + 1, ROUNDING * lengths[near].max() * float(np.linalg.norm(vector)))]
                 score = (x[best] * vector).sum(axis=1)  # the same order of additions for every row
                 hits = [(-s, i) for s, e in zip(score.tolist(), best) for i in ids[e] if i != query_id]
                 found.extend((int(query_id), int(i), -s) for s, i in sorted(hits)[:k])

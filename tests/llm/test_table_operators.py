@@ -149,9 +149,20 @@ def test_permutation_index_edges(spark):
     assert permutation_index.search(frame.where("vec_id = 1")).count() == 0
 
 
+def test_permutation_index_keeps_all_ties(spark):
+    rng = np.random.default_rng(6)
+    x = rng.permutation(np.unique(rng.choice([-1.0, 1.0], size=(4000, 9)), axis=0))[:190]  # all of a block is reranked
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in permutation_index.search(frame).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got == _brute_neighbours(range(len(x)), x)
+    assert max(sum(s >= v[-1][1] for s in (x @ x[q])) for q, v in got.items()) > 40
+
+
 def test_every_operator_is_registered():
     numbers = [int(re.match(r"op(\d+)_", q).group(1)) for q in queries.QUERIES if q != "pipeline"]
-    assert numbers == list(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in queries.QUERIES
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "personal_data", "mixing", "packing"]
 
 
