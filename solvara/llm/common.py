@@ -73,14 +73,16 @@ def fit_sample(documents: DataFrame, labels: DataFrame, label: str, rows: int =
     """``(text, label)`` of at most ``rows`` labelled, learnable documents, the same ones for any partitioning.
 
     The bound is a documented parameter of the fit; the id list is therefore at most ``rows`` long and may be
-    broadcast.  Ids or labels that are null are left out; an id labelled twice counts once (its smallest label).
+    broadcast.  Ids or labels that are null are left out; an id labelled twice counts once (its smallest label), and so
+    does one that several rows of ``documents`` have (its smallest text).
     """
     chosen = (labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("label"))
               .where(learnable(F.col("__id")) & F.col("label").isNotNull())
               .groupBy("__id").agg(F.min("label").alias("label"))
               .orderBy(F.xxhash64("__id"), "__id").limit(rows))
     texts = documents.select(F.col("doc_id").alias("__id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "__id").select("text", "label")
+    return (texts.join(F.broadcast(chosen), "__id").groupBy("__id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+            .select("text", "label"))
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -7,6 +7,8 @@ Both sides are lower-cased and keep letters only, so that shouting, digits and m
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +20,8 @@ from .common import held_out, learnable, python_tasks
 
 DICTIONARY_BYTES = 32 << 10
 DOCS_PER_LANGUAGE = 120
+#: Length of the pieces in which a long text enters.
+PIECE_BYTES = 128
 #: Every worker holds all dictionaries; this bound on their total is checked, no language is dropped for it.
 MAX_DICTIONARIES_BYTES = 64 << 20
 BLOCK_BYTES = 2 << 10
@@ -38,8 +42,10 @@ def train_dictionaries(documents: DataFrame, docs_per_language: int = DOCS_PER_L
                        dictionary_bytes: int = DICTIONARY_BYTES, total_bytes: int = MAX_DICTIONARIES_BYTES) -> dict[str, bytes]:
     """Raw dictionary of every language that has learnable text, from a hash-chosen, bounded sample of its documents.
 
-    At most ``docs_per_language`` texts of a language are used, copies count once, and twice ``dictionary_bytes`` of
-    them come to the driver.  More languages than ``total_bytes`` holds dictionaries of are an error.
+    At most ``docs_per_language`` ids of a language are used; repeated rows and equal texts count once.  All chosen texts
+    take part: each gives pieces spread by hash over its whole length, and the dictionary's room is dealt out evenly, with
+    what short texts leave going to the longer ones.  Twice ``dictionary_bytes`` per language come to the driver.  Less than
+    zstandard needs (8 bytes) is repeated.  More languages than ``total_bytes`` holds dictionaries of are an error.
     """
     python_tasks(documents.sparkSession)
     known = (documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("l"))
@@ -50,25 +56,44 @@ def train_dictionaries(documents: DataFrame, docs_per_language: int = DOCS_PER_L
         raise ValueError(f"the table has more than {most} languages, whose dictionaries exceed {total_bytes} bytes")
     rank = {r["l"]: i for i, r in enumerate(sorted(counts, key=lambda r: (-r["count"], r["l"])))}
     order = Window.partitionBy("l").orderBy(F.xxhash64("id"), "id")
-    chosen = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= docs_per_language).select("id", "l", "r")
-    slice_of = F.substr(F.col("text"), F.lit(1), F.lit(dictionary_bytes))  # a dictionary holds no more than this
-    texts = (documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("l"), slice_of.alias("text"))
+    chosen = known.distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= docs_per_language).select("id", "l", "r")
+    texts = (documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("l"), "text")
              .join(F.broadcast(chosen), ["id", "l"]).select("l", "r", "text"))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(lang, r, letters(t)) for lang, r, t in zip(*(c.to_pylist() for c in b.columns)) if t and any(map(str.isalpha, t))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], type=pa.string()), pa.array([x[1] for x in rows], type=pa.int32()),
-                                              pa.array([x[2] for x in rows], type=pa.binary())], names=["l", "r", "body"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in rows], type=pa.string()), pa.array([x[1] for x in rows], type=pa.int32()),
+                 pa.array([hashlib.sha256(x[2]).digest() for x in rows], type=pa.binary()),
+                 pa.array([spread(x[2], 2 * dictionary_bytes) for x in rows], type=pa.binary())], names=["l", "r", "key", "body"])
 
-    bodies = texts.mapInArrow(spell, "l string, r int, body binary").groupBy("l", "body").agg(F.min("r").alias("r"))
-    # many short pieces rather than one long text
+    bodies = (texts.mapInArrow(spell, "l string, r int, key binary, body binary")
+              .groupBy("l", "key").agg(F.min("r").alias("r"), F.first("body").alias("body")))
     share = F.floor(F.lit(2 * dictionary_bytes) / F.count(F.lit(1)).over(Window.partitionBy("l"))).cast("int")
     parts: dict[str, list[bytes]] = {}
     for row in sorted(bodies.select("l", "r", F.substr("body", F.lit(1), share).alias("piece")).collect()):
         parts.setdefault(row["l"], []).append(bytes(row["piece"]))
-    out = {lang: b"\n".join(pieces)[:dictionary_bytes] for lang, pieces in parts.items()}
-    return {lang: out[lang] for lang in sorted(out, key=rank.get) if len(out[lang]) >= 8}  # ties go to the commonest
+    out = {lang: b"\n".join(fill(pieces, dictionary_bytes)) for lang, pieces in parts.items()}
+    out = {lang: raw if len(raw) >= 8 else b" ".join([raw] * 8) for lang, raw in out.items()}
+    return {lang: out[lang] for lang in sorted(out, key=rank.get)}  # ties go to the commonest
+
+
+def spread(body: bytes, most: int) -> bytes:
+    """At most ``most`` bytes of a text: all of it, or pieces of PIECE_BYTES in an order by hash over its whole length."""
+    pieces = [body[i:i + PIECE_BYTES] for i in range(0, len(body), PIECE_BYTES)]
+    order = sorted(range(len(pieces)), key=lambda i: zlib.crc32(b"%d:%d" % (i, len(body))))
+    return b"".join(pieces[i] for i in order)[:most]
+
+
+def fill(pieces: list[bytes], room: int) -> list[bytes]:
+    """The beginnings of the pieces, joined by one byte each, that fill ``room``: one length for all but the shorter ones."""
+    left, out = room, {}
+    for n, i in enumerate(sorted(range(len(pieces)), key=lambda i: (len(pieces[i]), i))):
+        share = left // (len(pieces) - n) - 1
+        out[i] = pieces[i][:max(0, share)]
+        left -= len(out[i]) + 1
+    return [out[i] for i in range(len(pieces)) if out[i]]
 
 
 class Classifier:

@@ -8,10 +8,12 @@ Base spans always stay; an added span never overlaps a base span or a better add
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -187,24 +189,32 @@ class SpanModel:
     def spans(self, text: str | None) -> tuple[list[Span], list[Span]]:
         """(base spans, all spans) of one whole text, both ordered."""
         base = base_spans(text)
-        extra = [c for c in candidates(text or "") if not _overlaps(c, base)] if text else []
+        free = _Free(base)
+        extra = [c for c in candidates(text or "") if free.holds(c)] if text else []
         if not extra:
             return base, base
         p = self.forest.probability(np.array([span_features(text, c) for c in extra]))
-        taken: list[Span] = []
+        taken: list[tuple[int, int, str]] = []  # by place; they never meet, so the neighbours tell all
         for i in sorted(range(len(extra)), key=lambda i: (-p[i], _order(extra[i]))):
-            if p[i] >= self.thresholds[extra[i][0]] and not _overlaps(extra[i], taken):
-                taken.append(extra[i])
-                taken.sort(key=_order)
+            kind, a, b = extra[i]
+            at = bisect.bisect_left(taken, (b,))
+            if p[i] >= self.thresholds[kind] and not (at and taken[at - 1][1] > a):
+                taken.insert(at, (a, b, kind))
+        taken = [(kind, a, b) for a, b, kind in taken]
         return base, sorted([*base, *taken], key=_order)
 
 
-def _overlaps(c: Span, spans: list[Span]) -> bool:
-    """Whether c meets one of the spans, which are ordered by start; base spans may overlap, so look a little back."""
-    import bisect
+class _Free:
+    """What lies outside some spans, which may overlap each other in any way."""
 
-    i = bisect.bisect_left(spans, c[2], key=lambda s: s[1])
-    return any(s[2] > c[1] for s in spans[max(0, i - 8):i])
+    def __init__(self, spans: list[Span]):
+        places = sorted((a, b) for _, a, b in spans)
+        self.starts = [a for a, _ in places]
+        self.reach = list(accumulate((b for _, b in places), max))  # the furthest end up to each start
+
+    def holds(self, c: Span) -> bool:
+        i = bisect.bisect_left(self.starts, c[2])
+        return not i or self.reach[i - 1] <= c[1]
 
 
 LEAST_PRECISION = 0.97
@@ -215,7 +225,7 @@ BASE_CASES, OTHER_CASES = 4, 8
 def train(documents: DataFrame, rows: int = FIT_ROWS) -> SpanModel:
     """Trees fitted on candidates of at most ``rows`` learnable documents that hold a base span.
 
-    Cases are base spans, rewritten forms of them (label 1) and spoilt or unrelated ones (label 0).  A quarter of the
+    An id that several rows have counts once, with its smallest text.  Cases are base spans, rewritten forms of them (label 1) and spoilt or unrelated ones (label 0).  A quarter of the
     texts is kept out of the fit and sets each kind's threshold: the lowest at which ``LEAST_PRECISION`` holds.
     Only the cases' features come to the driver.
     """
@@ -227,7 +237,8 @@ def train(documents: DataFrame, rows: int = FIT_ROWS) -> SpanModel:
             for text in b.column(0).to_pylist():
                 base, pick = base_spans(text), len(text) * 7919 % 1000
                 cases = [v for s in base[:BASE_CASES] for v in _variants(text, s, pick)]
-                cases += [(text, c, 0) for c in candidates(text)[:OTHER_CASES] if not _overlaps(c, base)]
+                free = _Free(base)
+                cases += [(text, c, 0) for c in candidates(text)[:OTHER_CASES] if free.holds(c)]
                 for t, s, label in cases:
                     x.append(span_features(t, s))
                     y.append(label)
@@ -240,7 +251,8 @@ def train(documents: DataFrame, rows: int = FIT_ROWS) -> SpanModel:
     maybe = F.col("text").rlike(r"@|[0-9][^0-9]?[0-9][^0-9]?[0-9]")
     ids = (documents.where(learnable(F.col("doc_id")) & maybe).select(F.col("doc_id").alias("id")).distinct()
            .orderBy(F.xxhash64("id"), "id").limit(rows))
-    texts = documents.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids), "id").where(maybe).select("text")
+    texts = (documents.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids), "id").where(maybe)
+             .groupBy("id").agg(F.min("text").alias("text")).select("text"))
     got = texts.mapInArrow(run, "x array<double>, y int, fold int, kind string").toArrow()  # a bounded sample's features
     x = got["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
     y, fold = got["y"].to_numpy().astype("f8"), got["fold"].to_numpy()
