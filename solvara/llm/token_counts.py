@@ -1,6 +1,6 @@
 """Token counts (10): separator scan over flat, unindexed token files.
 
-A file is a plain run of little-endian 16-bit ids; a reserved id ends each document and there is no index.  Tasks
+A file is a plain run of little-endian 16-bit ids; an id outside the vocabulary ends each document and there is no index.  Tasks
 take fixed blocks of a file, find the separators with one vectorised comparison, and a prefix scan over the blocks
 (documents ended so far, place of the last separator) stitches documents that lie over block borders.
 """
@@ -19,7 +19,8 @@ from .common import materialize, shared_path, python_tasks
 from .word_tokens import tokenizer
 
 BLOCK_BYTES = 1 << 20
-END_OF_DOCUMENT = 49407
+#: Larger than any id of the vocabulary (49,408 ids), so that no text holds it, not even a spelt-out special token.
+END_OF_DOCUMENT = 0xFFFF
 
 
 def _open(path: str):
@@ -34,13 +35,15 @@ def write_token_files(documents: DataFrame, vocabulary: str, folder: str, end: i
 
     One file per task, named by partition and attempt, so a lost or repeated attempt leaves a file that nothing lists.
     There is a row per document (its ordinal in its file) and one with ordinal -1 that gives the file's size.
-    Null text: no ids, only the separator; a text's own ids never equal ``end`` (a spelt-out special token is left out).
+    Null text: no ids, only the separator.  ``end`` must lie outside the vocabulary (checked), so a text's own ids all count.
     """
     python_tasks(documents.sparkSession)
     closing = np.array([end], dtype="<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, context = tokenizer(vocabulary), TaskContext.get()
+        if end < encoder.full.get_vocab_size():
+            raise ValueError(f"{end} is an id of the vocabulary and cannot end documents")
         name = f"{context.partitionId():07d}-{context.taskAttemptId()}.tokens"
         store, root = _open(folder)
         store.create_dir(root, recursive=True)
@@ -54,10 +57,7 @@ def write_token_files(documents: DataFrame, vocabulary: str, folder: str, end: i
 
         with store.open_output_stream(f"{root}/{name}") as out:
             for b in batches:
-                for ids in encoder.encode_batch(b.column(1).to_pylist()):
-                    if closing in ids:
-                        a = np.frombuffer(ids, dtype="<u2")
-                        ids = a[a != end].tobytes()
+                for ids in encoder.encode_batch(b.column(1)):
                     out.write(ids + closing)
                     size += len(ids) + 2
                 n = b.num_rows

@@ -258,6 +258,64 @@ def test_clause_machine():
     assert kinds("i will not kill you") == []
 
 
+def test_composed_machine_equals_the_machines_in_turn():
+    rng, parts = random.Random(3), toxicity.machines()
+    for _ in range(3000):
+        symbols = [rng.randrange(6) for _ in range(rng.randrange(12))]
+        now, weights, aimed = symbols, [1.0] * len(symbols), False
+        for m in parts:
+            now, w, a = m.run(now)
+            weights, aimed = [x * y for x, y in zip(weights, w)], aimed or a
+        assert toxicity.CLAUSE_MACHINE.run(symbols) == (now, weights, aimed)
+    weighted = toxicity.Machine(parts[1].after, parts[1].write, parts[1].weight * 0.5, parts[1].aimed)
+    assert toxicity.compose(parts[0], weighted).run([4, 0])[1] == [0.5, 0.5]
+    assert len(toxicity.CLAUSE_MACHINE.after) <= 4 * 2 * 2 * 2
+
+
+def _plain_matches(grammar, words):
+    """The clause rules once more, by looking back and ahead instead of walking states."""
+    kinds = [grammar.classify(w)[0] for w in words]
+    covered = lambda i: any(kinds[j] == toxicity.NEGATION for j in range(max(0, i - toxicity.NEGATION_REACH + 1), i))
+    reported = lambda i: toxicity.REPORT in kinds[:i]
+    out, waiting = [], False
+    for i, k in enumerate(kinds):
+        if k == toxicity.INSULT:
+            out.append("reported" if reported(i) else "negated" if covered(i) else "targeted" if toxicity.TARGET in kinds else "plain")
+        elif k == toxicity.THREAT and not covered(i) and not reported(i):
+            waiting = True
+        elif k == toxicity.TARGET and waiting:
+            out.append("threat")
+            waiting = False
+    return sorted(out)
+
+
+def test_clauses_equal_plain_rules():
+    g = toxicity.Grammar({"idio": 2.0, "scum$": 1.0}, np.ones(toxicity.N_FEATURES), 0.0, ("smash",), ("alleged",))
+    rng = random.Random(8)
+    for _ in range(3000):
+        words = [rng.choice(["idiot", "scum", "you", "not", "said", "alleged", "kill", "smash", "tree", "the"]) for _ in range(rng.randrange(9))]
+        assert sorted(k for k, _ in g.clause(words)) == _plain_matches(g, words), words
+
+
+def test_threat_and_reporting_words_are_learned(spark, docs):
+    rng = random.Random(12)
+    filler = ["".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(300)]
+    text = lambda *own: " ".join(rng.choice(filler) for _ in range(12)) + ". " + " ".join(own) + ". " + " ".join(rng.choice(filler) for _ in range(9))
+    rows = []
+    for i in range(1600):
+        kind = i % 40
+        own = (("you", "zorgwit") if kind < 6 else ("that", "zorgwit") if kind < 12 else ("i", "will", "krusha", "you") if kind < 16
+               else ("he", "reputedly", "used", "zorgwit") if kind == 16 else ("you", "and", "the", "tree"))
+        rows.append((i, text(*own), int(kind < 16)))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    g = toxicity.train(docs([(i, t) for i, t, _ in rows]), labels)
+    assert any("zorgwit".startswith(e.rstrip("$")) for e in g.entries) and "reputedly" in g.reports
+    assert "krusha" in g.threats or any("krusha".startswith(e.rstrip("$")) for e in g.entries)
+    scored = {r.doc_id: r for r in toxicity.score_toxicity(docs([(i, t) for i, t, _ in rows]), g).collect()}
+    wrong = sum(scored[i].predicted != y for i, _, y in rows)
+    assert wrong <= 0.02 * len(rows), (g.entries, g.threats, g.reports)
+
+
 def _brute_base(text):
     out = [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", m) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)
@@ -330,6 +388,33 @@ def test_written_at_with_a_dot_is_proposed():
 LANGS = {"aa": ["kato", "miru", "sane", "toki"], "bb": ["grumpf", "schlatz", "wurtz", "brack"], "cc": ["eaux", "oise", "ille", "ment"]}
 
 
+def test_free_places_among_overlapping_spans():
+    base = [("email", 0, 500)] + [("ip", 10 * i, 10 * i + 7) for i in range(1, 20)]
+    free = pii._Free(base)
+    assert not free.holds(("phone", 480, 495)) and not free.holds(("card", 0, 1)) and not free.holds(("card", 499, 510))
+    assert free.holds(("phone", 500, 512)) and pii._Free([]).holds(("ip", 0, 3))
+
+
+def test_dictionaries_take_all_chosen_texts_and_rows_once(docs):
+    rng = random.Random(2)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(k))
+    long = [(i, "same beginning of every text " * 3 + " ".join(word(7) for _ in range(900)), "en") for i in range(0, 400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    dictionary = language.train_dictionaries(docs(long[:60]))["en"]
+    assert len(dictionary) >= 0.9 * language.DICTIONARY_BYTES and dictionary.count(b"\n") == 59
+    bodies = [language.letters(t) for _, t, _ in long[:60]]
+    found = [sum(line[:100] in body for body in bodies) >= 1 or line[:100] for line in dictionary.split(b"\n")]
+    assert sum(f is True for f in found) >= 55 and dictionary.count(b"same beginning") < 30
+    one = [r for r in long if r[0] == long[0][0]] * 300  # one id over and over
+    assert len(language.train_dictionaries(docs(one + [(long[1][0], "hola", "es")]))["es"]) >= 8
+    assert language.fill([b"abcdef", b"gh"], 7) == [b"abcd", b"gh"] or sum(map(len, language.fill([b"abcdef", b"gh"], 7))) <= 7
+
+
+def test_repeated_rows_of_a_labelled_id_are_fitted_once(spark, docs):
+    from solvara.llm.common import fit_sample
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")
+    assert fit_sample(docs([(1, "a b c")] * 500 + [(3, "d"), (3, "c")]), labels, "toxic").orderBy("text").collect() == [("a b c", 1), ("c", 0)]
+
+
 def test_language(docs, edge_rows):
     rng = random.Random(7)
     rows = []
@@ -362,11 +447,16 @@ def test_every_language_has_a_dictionary(docs):
 def test_token_counts(docs, edge_rows):
     rows = edge_rows + [(100 + i, "the quick brown fox " * (i % 9)) for i in range(40)]
     got = token_counts.count_document_tokens(docs(rows).repartition(3), VOCAB).collect()
-    want = sorted(((i, len([x for x in _ids(t) if x != token_counts.END_OF_DOCUMENT])) for i, t, *_ in rows), key=str)
+    want = sorted(((i, len(_ids(t))) for i, t, *_ in rows), key=str)  # a spelt-out special token counts
     assert sorted(((r.doc_id, r.n_tokens) for r in got), key=str) == want
     assert token_counts.count_document_tokens(docs([]), VOCAB).count() == 0
 
 
+def test_end_of_document_lies_outside_the_vocabulary(docs, tmp_path):
+    with pytest.raises(Exception, match="vocabulary"):
+        token_counts.write_token_files(docs([(1, "a")]), VOCAB, f"file://{tmp_path}/t", end=49407).count()
+
+
 @pytest.mark.parametrize("block_bytes", [2, 6, 64, 1 << 20])
 def test_separator_scan_blocks(spark, tmp_path, block_bytes):
     rng = random.Random(8)
