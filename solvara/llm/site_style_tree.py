@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import python_tasks
+from .common import materialize, python_tasks
 from .url_filter import host_of
 
 # Element classes of the HTML standard.
@@ -297,12 +297,12 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     items = (counts.groupBy("host", "node", "kind", "item")
              .agg(F.sum("n").alias("n"), F.sum("e").alias("e"), F.max("parent").alias("parent")))
     n, kind = F.col("n"), F.col("kind")
-    nodes = items.groupBy("host", "node").agg(
+    nodes = materialize(items.groupBy("host", "node").agg(
         F.sum(F.when(kind == PAGES, n)).alias("pages"),
         F.avg(F.when(kind == CONTENT, F.log(n) - F.col("e") / n)).alias("spread"),
         F.sum(F.when(kind == PRESENTATION, n)).alias("shown"),
         F.sum(F.when(kind == PRESENTATION, n * F.log(n))).alias("shown_e"),
-        F.max(F.when(kind != PRESENTATION, F.col("parent"))).alias("parent"))
+        F.max(F.when(kind != PRESENTATION, F.col("parent"))).alias("parent")), "nodes")  # narrow: a row per host and position
     looks = nodes.where("shown is not null").select(
         "host", F.col("node").alias("parent"),
         F.when(F.col("shown") >= LEAST_PAGES, (F.log("shown") - F.col("shown_e") / F.col("shown")) / F.log("shown"))
@@ -331,7 +331,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     low-importance nodes travels to the pages: its size follows the site's templates, not its pages.
     """
     tree = style_tree(pages, url_col, html_col).where(F.col("importance") < max(LEAST_IMPORTANCE, LEAST_IN_ARTICLE))
-    noise = tree.groupBy("host").agg(F.collect_list(F.struct("node", "importance")).alias("noise"))
+    # written, so that its size is known before the pages are read: small enough, it goes to them; else both are dealt by host
+    noise = materialize(tree.groupBy("host").agg(F.collect_list(F.struct("node", "importance")).alias("noise")), "noise")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_key(F.col(url_col)).alias("host"), _html(html_col))
     joined = rows.join(noise, "host", "left").select("page_id", "url", "html", "noise.node", "noise.importance")
     id_type = joined.schema["page_id"].dataType.simpleString()
