@@ -1,14 +1,18 @@
 """Model text, SMILES tokens, vocabulary and fixed-length encoding: X3, X4, X5.
 
 All steps are column expressions over the whole string; the only aggregate is the vocabulary count
-(map-side partials per token); ids are attached by an ordinary join on the token.
+(map-side partials per token); ids are looked up by Arrow, a batch at a time.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from solvara.session import ship_package
 
 # SMILES token pattern from the reaction-prediction literature -- a bracket atom, the
 # two-letter halogens Br and Cl, single-letter organic atoms (upper and aromatic lower case), bond and
@@ -50,25 +54,28 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", size: int = 1000) -> Data
     return top.select("token", (F.row_number().over(w) + F.lit(UNK_ID)).cast("int").alias("id"))
 
 
-def encode(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", max_length: int = 512,
-           id_col: str = "row_id") -> DataFrame:
+def encode(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", max_length: int = 512) -> DataFrame:
     """``input_ids`` (truncated to ``max_length``, right-padded with 0) and ``attention_mask``.
 
     Truncation to the model's input length is the encoder's definition; ``n_tokens`` keeps the full
-    token count of the whole text.  The first ``max_length`` tokens of a row are joined to the vocabulary by
-    token (Spark broadcasts the vocabulary if its size statistics allow) and gathered again by ``id_col``, which
-    must be unique: at most ``max_length`` ids per row, whatever the vocabulary's size.
+    token count of the whole text.  The vocabulary, whose size is a parameter of :func:`build_vocab`, goes to the tasks as a
+    constant, and Arrow looks up all tokens of a batch at once: encoding is a projection without a shuffle, rows need
+    no key, and only the tokens that are kept leave the JVM.
     """
-    kept = F.slice(F.coalesce(F.col(tokens), F.array().cast("array<string>")), 1, max_length)
-    long = df.select(id_col, F.posexplode(kept).alias("_p", "_t"))
-    ids = (long.join(vocab.select(F.col("token").alias("_t"), F.col("id").alias("_i")), "_t", "left")
-           .groupBy(id_col)
-           .agg(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("_i", F.lit(UNK_ID)).alias("_i")))).alias("_s")))
-    found = ids.select(F.col(id_col), F.transform("_s", lambda s: s["_i"]).alias("_ids"))
-    real = F.coalesce(F.col("_ids"), F.array().cast("array<int>"))
-    pad = F.greatest(F.lit(max_length) - F.size(real), F.lit(0))
-    return (df.join(found, id_col, "left")
-            .withColumns({"n_tokens": F.size(F.coalesce(F.col(tokens), F.array().cast("array<string>"))),
-                          "input_ids": F.concat(real, F.array_repeat(F.lit(PAD_ID), pad)),
-                          "attention_mask": F.concat(F.array_repeat(F.lit(1), F.size(real)), F.array_repeat(F.lit(0), pad))})
-            .drop("_ids"))
+    ship_package(df.sparkSession)
+    known = vocab.select("token", "id").collect()  # the vocabulary's size, a parameter
+    names = pa.array([r["token"] for r in known], pa.string())
+    ids = np.array([r["id"] for r in known] + [UNK_ID], dtype="i4")
+
+    @F.arrow_udf("array<int>")
+    def number(kept: pa.Array) -> pa.Array:
+        offsets = kept.offsets.to_numpy()
+        at = pc.fill_null(pc.index_in(kept.flatten(), value_set=names), len(names)).to_numpy()
+        return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(ids[at]))
+
+    every = F.coalesce(F.col(tokens), F.array().cast("array<string>"))
+    real = F.least(F.size(every), F.lit(max_length))
+    pad = F.lit(max_length) - real
+    return df.withColumns({"n_tokens": F.size(every),
+                           "input_ids": F.concat(number(F.slice(every, 1, max_length)), F.array_repeat(F.lit(PAD_ID), pad)),
+                           "attention_mask": F.concat(F.array_repeat(F.lit(1), real), F.array_repeat(F.lit(0), pad))})
