@@ -21,7 +21,7 @@ from .common import held_out, learnable, python_tasks
 DICTIONARY_BYTES = 32 << 10
 DOCS_PER_LANGUAGE = 120
 #: Length of the pieces in which a long text enters.
-PIECE_BYTES = 128
+PIECE_BYTES = 256
 #: Every worker holds all dictionaries; this bound on their total is checked, no language is dropped for it.
 MAX_DICTIONARIES_BYTES = 64 << 20
 BLOCK_BYTES = 2 << 10
