@@ -124,7 +124,12 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
     """
     root = Element("", 0, None)
     elements, blocks, stack, pieces = [root], [], [root], []
-    top = root
+    top, open_tags = root, Counter()
+
+    def close(i: int):
+        for e in stack[i:]:
+            open_tags[e.tag] -= 1
+        del stack[i:]
 
     def flush():
         text = " ".join((pieces[0] if len(pieces) == 1 else "".join(pieces)).split())
@@ -147,17 +152,19 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
                         top.inner -= 1
                     else:
                         flush()
-                        stack.pop()
+                        close(len(stack) - 1)
                         top = stack[-1]
                 elif end == "br":
                     pieces.append(" ")
                 continue
+            if not open_tags[end]:  # an end without a start
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 open_tag = stack[i].tag
                 if open_tag == end:
                     if pieces:
                         flush()
-                    del stack[i:]
+                    close(i)
                     top = stack[-1]
                     break
                 if open_tag in CELLS and end in WITHIN_CELLS:
@@ -177,11 +184,12 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
             if pieces:
                 flush()
             if tag not in INLINE:
-                ended = ENDS.get(tag, ())
+                ended = [t for t in ENDS.get(tag, ()) if open_tags[t]]
                 for i in range(len(stack) - 1, 0, -1):
                     open_tag = stack[i].tag
                     if open_tag == "p" or open_tag in ended:
-                        del stack[i:]
+                        close(i)
+                        ended = [t for t in ended if open_tags[t] and t != open_tag]
                     elif open_tag in LIMITS or open_tag not in INLINE and not ended:
                         break
             parent = stack[-1]
@@ -196,6 +204,7 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
                     parent = parent.parent
             if not (marks.unseen and attributes and attributes.rstrip().endswith("/")):
                 stack.append(e)
+                open_tags[tag] += 1
             top = stack[-1]
     if pieces:
         flush()

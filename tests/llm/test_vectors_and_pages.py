@@ -176,6 +176,16 @@ def test_blocks_of_one_page(page, text):
     assert _text(page) == text
 
 
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+    deep = "<div>" * 20_000 + "text" + "</span></b></section>" * 20_000 + "<li>x" * 20_000 + "</div>" * 30_000
+    quotes = "<a href=\"x" * 20_000 + "<p class='" * 20_000 + "<!-- " * 20_000 + "<script>" * 20_000
+    start = time.process_time()
+    assert _text(deep).startswith("text x x")
+    _text(quotes)
+    assert time.process_time() - start < 20
+
+
 def _pages(spark, rows):
     return spark.createDataFrame([(i, u, h, "n", 7) for i, u, h in rows], "page_id long, url string, html string, host string, node int")
 
