@@ -82,8 +82,8 @@ def split_presence(df: DataFrame, expected=("Training", "Validation", "Testing")
     """P9 (table form): rows per expected split, zero included; one grouped count (<= #splits rows)."""
     spark = df.sparkSession
     want = spark.createDataFrame([(s,) for s in expected], f"{split_col} string")
-    counts = df.groupBy(split_col).agg(F.count("*").alias("n_rows"))
-    return (F.broadcast(want).join(counts, split_col, "left")
+    counts = df.where(F.col(split_col).isin(*expected)).groupBy(split_col).agg(F.count("*").alias("n_rows"))
+    return (want.join(F.broadcast(counts), split_col, "left")  # a row per expected split at most
             .select(split_col, F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows")))
 
 
