@@ -139,6 +139,10 @@ def fx_bonds(spark, sf_dir, atoms: DataFrame | None = None) -> DataFrame:
     return both.withColumn("bond_type", ((F.col("src") + F.col("dst")) % 3).cast("int"))
 
 
+#: Atoms that share one copy of each vector.
+NODE_BLOCK = 500_000
+
+
 # ---------------------------------------------------------------- FX-FEAT / FX-TEXTFEAT / FX-NODES
 FX_FEAT_SQL = (
     f"SELECT p.*, f.qty, f.disc, f.tax FROM ({FX_PRED_SQL}) p JOIN (SELECT l_orderkey, "
@@ -162,13 +166,26 @@ def fx_textfeat(spark, sf_dir) -> DataFrame:
 
 
 def fx_nodes(spark, sf_dir) -> DataFrame:
-    """(mol_id, atom_id, vec ARRAY<FLOAT>): one 64-value vector per atom, from the embeddings table."""
-    a = fx_atoms(spark, sf_dir)
+    """(block, mol_id, atom_id, vec ARRAY<FLOAT>): one 64-value vector per atom, from the embeddings table.
+
+    Molecules are dealt to blocks of about ``NODE_BLOCK`` atoms, or three atoms for each embeddings row if that is more, and
+    a block gets each vector that its atoms need once: vectors cross the network per block, not per atom.  Both sides of
+    the join are dealt by block, so a readout by (block, mol_id) finds its rows in place.
+    """
+    li = table(spark, sf_dir, "lineitem")
     e = table(spark, sf_dir, "embeddings")
     # atoms are dealt over all embeddings rows, so no key gets more than its share as the table grows
     n = max(1, e.count())
-    keyed = a.withColumn("vec_id", ((F.col("mol_id") * 7 + F.col("atom_id")) % n).cast("bigint"))
-    return keyed.join(e.select("vec_id", F.col("embedding").alias("vec")), "vec_id", "inner").drop("vec_id")
+    blocks = max(spark.sparkContext.defaultParallelism, li.count() // max(NODE_BLOCK, 3 * n))
+    parts = 3 * blocks  # so that few tasks get several blocks
+    # both sides of the join below are dealt by block, one of its two keys: without this Spark would deal them anew by both
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    atoms = li.select(F.pmod(F.xxhash64("l_orderkey"), F.lit(blocks)).alias("block"), F.col("l_orderkey").alias("mol_id"),
+                      F.col("l_linenumber").alias("atom_id")).repartition(parts, "block").distinct()
+    keyed = atoms.withColumn("vec_id", ((F.col("mol_id") * 7 + F.col("atom_id")) % n).cast("bigint"))
+    vectors = e.select("vec_id", F.col("embedding").alias("vec"))
+    needed = keyed.select("block", "vec_id").distinct().join(vectors, "vec_id").repartition(parts, "block")
+    return keyed.join(needed, ["block", "vec_id"]).drop("vec_id")
 
 
 FX_NODES_SQL = (

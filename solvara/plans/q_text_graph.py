@@ -187,11 +187,11 @@ def _readout_sql(how: str) -> str:
 
 @register("a12_readout_mean", _readout_sql("mean"))
 def a12_readout_mean(spark, sf_dir):
-    r = vectors.readout(fx.fx_nodes(spark, sf_dir), "mean")
+    r = vectors.readout(fx.fx_nodes(spark, sf_dir), "mean", ["block", "mol_id"])
     return vectors.explode_dims(r, "vec", "mol_id", 4)
 
 
 @register("a13_readout_sum", _readout_sql("sum"))
 def a13_readout_sum(spark, sf_dir):
-    r = vectors.readout(fx.fx_nodes(spark, sf_dir), "sum")
+    r = vectors.readout(fx.fx_nodes(spark, sf_dir), "sum", ["block", "mol_id"])
     return vectors.explode_dims(r, "vec", "mol_id", 4)
