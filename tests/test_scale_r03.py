@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -68,3 +69,31 @@ def test_qgram_bits_of_slices(monkeypatch):
         column = pa.array([None if t is None else t.encode() for t in texts], pa.binary())
         assert qgrams.text_bits(column, 4, 512).to_pylist() == [plain(t) for t in texts]
     assert len(qgrams.text_bits(pa.array([], pa.binary()), 4, 512)) == 0
+
+
+def test_grammar_stops_at_the_first_broken_rule():
+    """Outside Spark's expressions a string is read only as far as its first broken rule."""
+    from solvara.operators import smiles
+
+    assert smiles.first_reason("C" * 10 + "é" + "C" * 10) == "unknown_symbol"
+    assert next(smiles._tokens("é" + "C" * 100)) == "é"
+    assert list(smiles._tokens("C\x01Cé[a\x01]")) == ["C", "C", "é", "[a", "]"] and list(smiles._tokens("[a\x01]")) == ["[a\x01]"]
+    assert [smiles.first_reason(s) for s in ("", "C1CC1", "C1CC", "C(", "C=", "F/C=C/F", "C=1CCC/1")] == [
+        None, None, "open_ring", "unbalanced_branch", "misplaced_bond", None, "ring_bond_conflict"]
+
+
+def test_components_come_from_exact_counts(spark):
+    """The counts of set bits are added up exactly; axes, shares and means equal those of the whole matrix."""
+    from solvara.operators import models
+
+    rng = np.random.default_rng(5)
+    x = (rng.random((300, 6)) < [0.5, 0.2, 0.7, 0.1, 0.4, 0.9]).astype(int)
+    x[:, 1] = x[:, 0]
+    rows = [(i, np.flatnonzero(r).tolist()) for i, r in enumerate(x)]
+    bits = spark.createDataFrame(rows, "row_id long, bits array<int>").repartition(7)
+    axes, share, mean = models._components(bits, "bits", 6)
+    value, vector = np.linalg.eigh(np.cov(x.T))
+    assert np.allclose(mean, x.mean(axis=0)) and np.allclose(share, value[::-1] / value.sum(), atol=1e-12)
+    assert np.allclose(abs(axes[:, :2]), abs(vector[:, ::-1][:, :2]))
+    got = {r.row_id: (r.x, r.y) for r in models.project_2d(bits, n_bits=6).collect()}
+    assert np.allclose(np.abs([got[i] for i in range(300)]), np.abs((x - mean) @ axes[:, :2]))
