@@ -48,6 +48,7 @@ def encode_documents(documents: DataFrame, vocabulary: str, separator: int = SEP
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(ids), part, dtype="i4")), pa.array(starts), b.column(0),
                  pa.array(ids, type=pa.binary()), pa.array(n)], names=["part", "inner", "doc_id", "ids", "n"])
+        pa.default_memory_pool().release_unused()  # the worker lives on beside those of other tasks
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, "part int, inner long, doc_id long, ids binary, n long")

@@ -19,7 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words and odd chunks whose ids a worker keeps; beyond, the oldest half goes.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 200_000
+#: Bytes of texts that are encoded at once (a longer text goes alone).
+SLICE_BYTES = 2_000_000
 #: Words per call of the library.
 CALL_WORDS = 100
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -145,12 +147,18 @@ class WordTokenizer:
 
     def encode_batch(self, texts: pa.Array | list[bytes | None]) -> list[bytes]:
         """Ids of each text (null: none) as packed 16-bit integers."""
+        raw = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())
+        size = pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False).astype("i8")
+        piece = (np.cumsum(size) - size) // SLICE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(raw)]
+        return [ids for a, z in zip(cuts, cuts[1:]) if z > a for ids in self._encode(raw.slice(a, z - a))]
+
+    def _encode(self, raw: pa.Array) -> list[bytes]:
         if len(self.cache) > self.cache_chunks:
             for c in list(islice(self.cache, len(self.cache) // 2)):
                 del self.cache[c]
         if len(self.marks) > self.cache_chunks:
             self.marks = {"": b""}
-        raw = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())
         try:
             text = raw.cast(pa.large_string())
         except pa.ArrowInvalid:  # not UTF-8
