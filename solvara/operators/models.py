@@ -79,13 +79,18 @@ def n_trees(model: PipelineModel) -> int:
 
 def fit_text_regressor(df: DataFrame, text_col: str, label: str, num_features: int = 1 << 12,
                        reg: float = 0.0) -> PipelineModel:
-    """L3: regression straight from molecule text: SMILES tokens -> hashed counts -> IDF -> linear model."""
+    """L3: regression straight from molecule text: SMILES tokens -> hashed counts -> IDF -> linear model.
+
+    Texts are cut into tokens once: the hashed counts are written, and both fits read them.
+    """
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=SMILES_TOKEN_RE, gaps=False,
                          toLowercase=False)
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features)
     idf = IDF(inputCol="_tf", outputCol="_tfidf")
     lr = LinearRegression(featuresCol="_tfidf", labelCol=label, predictionCol="pred", regParam=reg)
-    return Pipeline(stages=[tok, tf, idf, lr]).fit(df)
+    counted = write_once(tf.transform(tok.transform(df)).select(label, "_tf"), "counts")
+    weights = idf.fit(counted)
+    return PipelineModel([tok, tf, weights, lr.fit(weights.transform(counted))])
 
 
 def fit_mean_variance(train: DataFrame, features, label: str, id_col: str = "row_id", folds: int = 2,

@@ -97,3 +97,39 @@ def test_components_come_from_exact_counts(spark):
     assert np.allclose(abs(axes[:, :2]), abs(vector[:, ::-1][:, :2]))
     got = {r.row_id: (r.x, r.y) for r in models.project_2d(bits, n_bits=6).collect()}
     assert np.allclose(np.abs([got[i] for i in range(300)]), np.abs((x - mean) @ axes[:, :2]))
+
+
+def test_text_regressor_cuts_texts_once(spark, monkeypatch):
+    """Both fits read the written counts; the model still takes texts."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF
+    from pyspark.ml.regression import LinearRegression
+    from solvara.operators import models
+
+    written, plain = [], models.write_once
+    monkeypatch.setattr(models, "write_once", lambda df, name="step": written.append(df.columns) or plain(df, name))
+    df = spark.createDataFrame([("C" * i + "N" * (i % 3), float(i)) for i in range(1, 40)], "smiles string, label double")
+    model = models.fit_text_regressor(df, "smiles", "label", num_features=32, reg=0.01)
+    assert written == [["label", "_tf"]]
+    whole = Pipeline(stages=[*model.stages[:2], IDF(inputCol="_tf", outputCol="_tfidf"),
+                             LinearRegression(featuresCol="_tfidf", labelCol="label", predictionCol="pred", regParam=0.01)]).fit(df)
+    got, want = ([r.pred for r in m.transform(df).orderBy("label").select("pred").collect()] for m in (model, whole))
+    assert np.allclose(got, want, atol=1e-6)
+
+
+def test_forest_answers_each_question_once(spark):
+    """Kept answers, many questions, deep trees and array features that travel once give the same predictions."""
+    from solvara.operators import boosting
+
+    rng = np.random.default_rng(3)
+    for width, depth in ((2, 6), (3, 9)):
+        x = rng.normal(size=(400, width))
+        model = boosting.fit_rows_in_memory(x, x[:, 0] * 2 + rng.normal(size=400), n_estimators=30, depth=depth)
+        codes = model.codes(x)
+        want = model.base + sum(model.leaf[t][model.leaves(codes, t)] for t in range(model.n_trees))
+        assert np.allclose(model.predict(x), want, rtol=0, atol=1e-9)
+        df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i int, x array<double>")
+        scored = boosting.score_boosting(model, df, "x")
+        assert scored.columns == ["i", "x", "pred"] and "__x" not in scored._jdf.queryExecution().optimizedPlan().toString()
+        assert np.allclose([r.pred for r in scored.orderBy("i").collect()], want, rtol=0, atol=1e-9)
+    assert boosting.SCORE_CELLS
