@@ -140,7 +140,7 @@ def fx_bonds(spark, sf_dir, atoms: DataFrame | None = None) -> DataFrame:
 
 
 #: Atoms that share one copy of each vector.
-NODE_BLOCK = 500_000
+NODE_BLOCK = 200_000
 
 
 # ---------------------------------------------------------------- FX-FEAT / FX-TEXTFEAT / FX-NODES
