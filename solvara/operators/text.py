@@ -19,6 +19,9 @@ from solvara.session import ship_package
 # branch symbols, two-digit ring closures after %, and single ring-closure digits.
 SMILES_TOKEN_RE = (r"(\[[^\]]+\]|Br|Cl|N|O|S|P|F|I|B|C|b|c|n|o|s|p|\(|\)|\.|=|#|-|\+|\\|/|:|~|@|\?|>|\*|\$"
                    r"|%[0-9]{2}|[0-9])")
+#: The same tokens for Spark's regex engine, which tries alternatives one by one: one class for most characters, and the few
+#: that may begin a longer token behind one look ahead.
+QUICK_TOKEN_RE = r"[NOSPFIbcnops().=#\-+\\/:~@?>*$0-9]|(?=[BC\[%])(?:Br?|Cl?|\[[^\]]+\]|%[0-9]{2})"
 PAD_ID, UNK_ID = 0, 1
 
 
@@ -35,7 +38,7 @@ def model_text(df: DataFrame, text: str, num_cols, sep: str = " [SEP] ", digits:
 
 def tokenize_smiles(df: DataFrame, c: str, out: str = "tokens") -> DataFrame:
     """SMILES tokens of the whole string, in order (characters outside the pattern are skipped)."""
-    return df.withColumn(out, F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(SMILES_TOKEN_RE), 1))
+    return df.withColumn(out, F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(QUICK_TOKEN_RE), 0))
 
 
 def build_vocab(df: DataFrame, tokens: str = "tokens", size: int = 1000) -> DataFrame:

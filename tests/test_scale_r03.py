@@ -133,3 +133,19 @@ def test_forest_answers_each_question_once(spark):
         assert scored.columns == ["i", "x", "pred"] and "__x" not in scored._jdf.queryExecution().optimizedPlan().toString()
         assert np.allclose([r.pred for r in scored.orderBy("i").collect()], want, rtol=0, atol=1e-9)
     assert boosting.SCORE_CELLS
+
+
+def test_tokens_are_found_without_trying_every_alternative(spark):
+    """The pattern that Spark runs finds the tokens of the documented one."""
+    import random
+    import re
+
+    from solvara.operators import text
+
+    pick = random.Random(7)
+    texts = ["", "B", "Br", "BrBBr", "ClC", "Cr[", "[]", "[]]", "[[C]", "[a\nb]", "%1", "%12", "%%123", "[%12", "é[é]😀Cl", "a-b^c\\/$"]
+    texts += ["".join(pick.choice("BrClNcnopsx[]%%012()=#-+\\/:~@?>*$.^ \né😀") for _ in range(60)) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "s string")
+    found = text.tokenize_smiles(df, "s")
+    assert {r.s: r.tokens for r in found.collect()} == {t: re.findall(text.SMILES_TOKEN_RE, t or "") for t in [*texts, None]}
+    assert "Br|Cl|" not in found._jdf.queryExecution().optimizedPlan().toString()
