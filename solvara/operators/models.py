@@ -20,7 +20,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solvara.operators.text import SMILES_TOKEN_RE
+from solvara.operators.text import QUICK_TOKEN_RE
 from solvara.session import ship_package, write_once
 
 SEED = 536
@@ -83,7 +83,7 @@ def fit_text_regressor(df: DataFrame, text_col: str, label: str, num_features: i
 
     Texts are cut into tokens once: the hashed counts are written, and both fits read them.
     """
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=SMILES_TOKEN_RE, gaps=False,
+    tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=QUICK_TOKEN_RE, gaps=False,
                          toLowercase=False)
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features)
     idf = IDF(inputCol="_tf", outputCol="_tfidf")

@@ -149,3 +149,15 @@ def test_tokens_are_found_without_trying_every_alternative(spark):
     found = text.tokenize_smiles(df, "s")
     assert {r.s: r.tokens for r in found.collect()} == {t: re.findall(text.SMILES_TOKEN_RE, t or "") for t in [*texts, None]}
     assert "Br|Cl|" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_text_model_cuts_with_the_quick_pattern(spark):
+    import re
+
+    from solvara.operators import models, text
+
+    texts = ["BrBBr" * 3, "ClC[", "[]]", "[[C]", "[a\nb]%1", "%%123", "[%12", "é[é]😀Cl", "a-b^c\\/$"] * 3
+    df = spark.createDataFrame([(t, float(i)) for i, t in enumerate(texts)], "s string, label double")
+    model = models.fit_text_regressor(df, "s", "label", num_features=32, reg=0.1)
+    assert model.stages[0].getPattern() == text.QUICK_TOKEN_RE
+    assert all(r._tokens == re.findall(text.SMILES_TOKEN_RE, r.s) for r in model.stages[0].transform(df).select("s", "_tokens").collect())
