@@ -161,3 +161,68 @@ def test_text_model_cuts_with_the_quick_pattern(spark):
     model = models.fit_text_regressor(df, "s", "label", num_features=32, reg=0.1)
     assert model.stages[0].getPattern() == text.QUICK_TOKEN_RE
     assert all(r._tokens == re.findall(text.SMILES_TOKEN_RE, r.s) for r in model.stages[0].transform(df).select("s", "_tokens").collect())
+
+
+def test_walks_of_whole_and_of_large_molecules(spark, monkeypatch):
+    """Batches that cut molecules anywhere, NULL parts, repeated atoms and bonds, loops, and molecules beyond either bound."""
+    from solvara.operators import keys
+
+    rng = np.random.default_rng(11)
+    names, kinds = ["A", "B", "", "é", None], [0, 1, 2, None]
+    atoms = [(m, a, names[rng.integers(5)]) for m in range(40) for a in range(rng.integers(1, 7))]
+    bonds = [(m, int(rng.integers(7)), int(rng.integers(7)), kinds[rng.integers(4)]) for m in range(42) for _ in range(rng.integers(0, 9))]
+    atoms += atoms[::5] + [(3, 1, "Z"), (5, None, "A"), (None, 1, "A"), (None, 2, "B"), (50, 1, "A"), (51, None, None)]
+    bonds += bonds[::4] + [(3, None, 1, 1), (3, 1, None, 1), (None, 1, 2, 0), (60, 1, 2, 0)]
+    a = spark.createDataFrame(atoms, "mol_id long, atom_id int, invariant string")
+    b = spark.createDataFrame(bonds, "mol_id long, src int, dst int, bond_type int")
+
+    def got(longest=4, n_bits=64):
+        found = [(r.mol_id, r.bits) for r in keys.path_fingerprint(a, b, longest, n_bits).collect()]
+        assert len(found) == len(dict(found))
+        return dict(found)
+
+    want = {r.mol_id: r.bits for r in keys._fingerprint_by_atom(a, b, 4, 64).collect()}
+    assert len(want) == 43 and sum(map(bool, want.values())) > 20
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        with monkeypatch.context() as m:  # all molecules are of bounded size: no walk is dealt by atom
+            m.setattr(keys, "walk_hashes", None)
+            assert got() == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    monkeypatch.setattr(keys, "WHOLE_ROWS", 12)
+    assert got() == want
+
+
+def test_walks_beyond_the_bound_are_left_to_the_other_road():
+    """In slices of few walks, and with molecules of too many walks, which are named but not worked on."""
+    from solvara.operators import keys
+
+    rows = [(0, False, None, 1, None, b"A"), (0, False, None, 2, None, b"B"), (0, True, 1, 2, b"1", None), (0, True, 2, 1, b"1", None)]
+    rows += [(1, *r[1:]) for r in rows] + [(1, True, 1, 1, b"0", None), (2, False, None, 1, None, b"A"), (3, True, 1, 2, b"0", None)]
+    names = ["mol_id", "is_bond", "src", "dst", "bond_type", "invariant"]
+    types = [pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+    mol = np.array([r[0] for r in rows])
+    all_bits = {int(k): v.tolist() for k, v in keys._walk_bits(mol, batch, 3, 64)}
+    assert set(all_bits) == {0, 1, 2} and all_bits[2] == [] and set(all_bits[0]) < set(all_bits[1])
+    for bound, slices in ((6, 1), (500_000, 1), (6, 500_000)):
+        keep = keys.WHOLE_WALKS, keys.SLICE_WALKS
+        keys.WHOLE_WALKS, keys.SLICE_WALKS = bound, slices
+        try:
+            some = {int(k): v if v is None else v.tolist() for k, v in keys._walk_bits(mol, batch, 3, 64)}
+        finally:
+            keys.WHOLE_WALKS, keys.SLICE_WALKS = keep
+        assert some == {**all_bits, **({1: None} if bound == 6 else {})}
+
+
+def test_md5_of_many_short_strings():
+    from solvara.functions.md5_words import md5_ints
+
+    number = np.array([0, 9, 10, 99_999, 4294967295, 1_000_000_000, -1, -1] * 3000, dtype="i8")
+    endings = [b"", b"|", b"|1|AF", "|é|".encode(), b"|" + b"x" * 44, b"|" + b"x" * 45, b"|" + b"x" * 200]
+    which = np.arange(len(number)) // 8 % len(endings)
+    text = [(b"%d" % n + endings[w]) if n >= 0 else endings[w][1:] for n, w in zip(number, which)]
+    assert md5_ints(number, endings, which).tolist() == [int(hashlib.md5(t).hexdigest()[:8], 16) for t in text]
+    assert md5_ints(number[:0], [], which[:0]).tolist() == []
